@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..ship import ship
-from . import _spark, _tokens, decontaminate, packing, token_store
+from . import _spark, _tokens, decontaminate, langid, packing, quality, token_store, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out() -> Column:
+    """True for the fifth of the documents that no model learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -25,12 +30,28 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = quality.fit(docs.where(~F.col("held_out")), _read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "doc_id", "held_out").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _tokens.path("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(_read(spark, sf_dir, "pages"), _spark.new_folder(spark, "warc"))
+    return warc.records(warc.read(spark, [x["path"] for x in files], payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return langid.predict(docs, langid.fit(docs.where(~F.col("held_out"))), "doc_id", "held_out")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_token_store, op7_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op4_token_store, op5_quality, op7_packing, op9_warc, op10_language_id)}
 
 
 ORACLE = {
@@ -54,6 +75,17 @@ items AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(i.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+bits AS (SELECT *, list_reduce(list_transform(range(1, 41), lambda i: right(bin(position(hex[i] IN '0123456789abcdef') + 15), 4)), lambda x, y: x || y) AS b FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
+         + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT)]), lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM bits
 """,
 }
 
