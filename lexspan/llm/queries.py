@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..ship import ship
-from . import _spark, _tokens, decontaminate, langid, packing, quality, token_store, warc
+from . import _spark, _tokens, decontaminate, langid, packing, quality, token_store, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write(_read(spark, sf_dir, "documents"), _tokens.path("word_bpe_49k.json"), _spark.new_folder(spark, "tokens"), 1)
     return token_store.digests(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_token_store, op5_quality, op7_packing, op9_warc, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op3_topk, op4_token_store, op5_quality, op7_packing, op9_warc, op10_language_id)}
 
 
 ORACLE = {
@@ -75,6 +79,16 @@ items AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(i.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+    "op3_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
