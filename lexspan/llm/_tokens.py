@@ -165,3 +165,13 @@ def encode(file: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out.append(ids[take])
         total[i + 1 : j + 1] = np.add.reduceat(size, np.searchsorted(at, s[:-1]))
     return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.cumsum(total)
+
+
+def piece_counts(file: str, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each piece of joined texts, number of its ids). The byte after each text is a piece without ids."""
+    at = cuts(buf, start)
+    offs = np.append(at, len(buf)).astype(np.int64)
+    arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(buf)])
+    d = pc.dictionary_encode(arr)
+    _, end = _ids(file, d.dictionary)
+    return at, np.diff(end, prepend=0)[d.indices.to_numpy()]

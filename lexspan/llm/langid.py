@@ -198,7 +198,7 @@ def _predict(shared):
         for batch in batches:
             n = batch.num_rows
             score, lettered = np.zeros((n, g)), np.zeros(n, bool)
-            for i, j, words, code, count in _word_table(batch.column("text")):
+            for i, j, words, code, count in _word_table(batch.column("_text")):
                 new = [w for w in words if w not in kept]
                 if len(kept) + len(new) > KEPT:
                     kept.clear()
@@ -230,7 +230,7 @@ def _predict(shared):
                 pred = [m.langs[b] if x else "und" for b, x in zip(best.tolist(), lettered.tolist(), strict=True)]
             else:
                 top, pred = np.zeros(n), ["und"] * n
-            out = batch.drop_columns(["text"])
+            out = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(pred, pa.string()), pa.array(top, pa.float64())], [*out.schema.names, "lang_pred", "score"])
 
     return run
@@ -239,6 +239,14 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns `keep` of docs, lang_pred, and score, the posterior of that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages: bounded by the vocabulary
-    slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("text").schema)
+    slim = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_text").schema)
     return slim.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with a posterior of at least `least`."""
+    names = docs.columns
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
+    kept = predict(slim, model, *[f"c{i}" for i in range(len(names))]).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -107,15 +107,15 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = statistics(batch.column("text"))
-        rest = batch.drop_columns(["text"])
+        x = statistics(batch.column("_text"))
+        rest = batch.drop_columns(["_text"])
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATS)).cast(pa.list_(pa.float64()))], [*rest.schema.names, "_stats"])
 
 
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` of docs, and _stats."""
-    slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("text").schema)
+    slim = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_text").schema)
     return slim.mapInArrow(_with_stats, f"{fields}, _stats array<double>")
 
 
@@ -232,3 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
 def score(docs: DataFrame, model: Ensemble, *keep: str) -> DataFrame:
     """The columns `keep` of docs, and score."""
     return with_statistics(docs, *keep).select(*keep, model.column(F.col("_stats")).alias("score"))
+
+
+def accepted(docs: DataFrame, model: Ensemble, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`."""
+    names = docs.columns
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
+    keep = [f"c{i}" for i in range(len(names))]
+    kept = with_statistics(slim, *keep).where(model.column(F.col("_stats")) >= least)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..ship import ship
-from . import _spark, _tokens, decontaminate, jaccard_join, langid, packing, quality, token_store, topk, warc
+from . import _spark, _tokens, decontaminate, jaccard_join, langid, license_scan, packing, quality, token_counts, token_store, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"), "doc_id")
+    name = F.concat_ws(",", F.transform("licenses", lambda x: x["license"]))
+    return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), name.alias("licenses"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x["share"])), F.lit(0.0)).alias("best_share"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
@@ -48,6 +54,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _tokens.path("byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: some bytes removed, a phrase put in, some bytes replaced, at places that its doc_id gives."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.octet_length("text") + 1)
+    edit = lambda at, n, s: F.struct(at.cast("long").alias("at"), F.lit(n).cast("long").alias("remove"), F.lit(s).alias("insert"))
+    docs = docs.withColumn("edits", F.array(edit(place(1), 7, ""), edit(place(2), 0, " a revised phrase,"), edit(place(3), 12, "don't")))
+    file = _tokens.path("byte_bpe_50k.json")
+    return token_counts.apply(token_counts.build(docs, file), file, texts=False).select("doc_id", "n_before", "n_after", "bytes_encoded", "bytes_after")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(_read(spark, sf_dir, "pages"), _spark.new_folder(spark, "warc"))
     return warc.records(warc.read(spark, [x["path"] for x in files], payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_topk, op4_token_store, op5_quality, op6_jaccard_join, op7_packing, op9_warc, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_topk, op4_token_store, op5_quality, op6_jaccard_join, op7_packing, op8_token_counts, op9_warc, op10_language_id)}
 
 
 ORACLE = {
