@@ -50,6 +50,11 @@ def analysis_text(c: Column, normal=nfkc) -> Column:
 query_text = analysis_text
 
 
+def query_text_native(c: Column) -> Column:
+    """query_text of text that is in NFKC already, for use inside lambdas."""
+    return collapsed(F.lower(c))
+
+
 def selection_text(c: Column, normal=nfkc) -> Column:
     """NFKC and collapsed, with its case."""
     return collapsed(normal(c))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text
+from . import select, text
 
-_MODULES = (text,)
-FLAGSHIP = "f8_token_estimate"
+_MODULES = (text, select)
+FLAGSHIP = "hybrid_context"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

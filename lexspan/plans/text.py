@@ -183,7 +183,7 @@ def f31_prompt_tokens(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.prompt_tokens(F.col("text"), 16).alias("tokens"))
 
 
-@query("""WITH g AS (SELECT user_id, event_id, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ms FROM events),
+@query("""WITH g AS (SELECT user_id, event_id, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS ms FROM events),
 s AS (SELECT *, CAST(floor(ms / 1000) AS BIGINT) AS s FROM g)
 SELECT event_id, CASE WHEN ms >= 0 THEN ms END AS elapsed_ms, CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd ' || (s // 3600) % 24 || 'h' WHEN s // 3600 > 0 THEN (s // 3600) || 'h ' || (s // 60) % 60 || 'm'
   WHEN s // 60 > 0 THEN (s // 60) || 'm ' || s % 60 || 's' ELSE s || 's' END AS shown FROM s""")
