@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import select, text
+from . import govern, select, text
 
-_MODULES = (text, select)
+_MODULES = (text, select, govern)
 FLAGSHIP = "hybrid_context"
 
 
