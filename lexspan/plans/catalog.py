@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import govern, select, text
+from . import documents, govern, select, text
 
-_MODULES = (text, select, govern)
+_MODULES = (text, select, govern, documents)
 FLAGSHIP = "hybrid_context"
 
 
