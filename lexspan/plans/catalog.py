@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, govern, select, text
+from . import documents, govern, select, streams, text
 
-_MODULES = (text, select, govern, documents)
+_MODULES = (text, select, govern, documents, streams)
 FLAGSHIP = "hybrid_context"
 
 
