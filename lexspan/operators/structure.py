@@ -23,6 +23,8 @@ CHUNK = {"target": 320, "most": 480, "overlap": 48}
 KEYWORDS, KEYWORD_UNITS = 32, 64
 KEYWORD_KINDS = ("paragraph", "list_item", "table", "quote")
 
+PROSE = ("paragraph", "list_item", "quote")
+
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -121,14 +123,14 @@ def _cosine(a: Counter, b: Counter) -> float:
     return min(1.0, max(0.0, sum(v * b[k] for k, v in a.items()) / (x * y) ** 0.5)) if x and y else 0.0
 
 
-def lexical_gaps(texts: list[str], policy: dict = SEGMENT) -> list[tuple[int, float, float]]:
-    """(gap before block i, similarity, depth) for every gap between consecutive texts.
+def lexical_gaps(texts: list[str], policy: dict = SEGMENT, counted: set[int] | None = None) -> list[tuple[int, float, float]]:
+    """(gap before block i, similarity, depth) for every gap between consecutive texts, or those counted.
 
     Both sides are up to `window` blocks, compared by words, or by character trigrams if either is sparse;
     the peaks are the greatest similarities up to and from the gap, itself included.
     """
-    sims = []
-    for i in range(1, len(texts)):
+    sims, at = [], [i for i in range(1, len(texts)) if counted is None or i in counted]
+    for i in at:
         left, right = " ".join(texts[max(0, i - policy["window"]) : i]), " ".join(texts[i : i + policy["window"]])
         a, b = _words(left), _words(right)
         if min(len(a), len(b)) < policy["sparse_words"]:
@@ -137,22 +139,27 @@ def lexical_gaps(texts: list[str], policy: dict = SEGMENT) -> list[tuple[int, fl
         sims.append(_cosine(Counter(a), Counter(b)))
     out = []
     for k, s in enumerate(sims):
-        out.append((k + 1, s, (max(sims[: k + 1]) + max(sims[k:]) - 2 * s) / 2))
+        out.append((at[k], s, (max(sims[: k + 1]) + max(sims[k:]) - 2 * s) / 2))
     return out
 
 
-def lexical_boundaries(texts: list[str], tokens: list[int], policy: dict = SEGMENT) -> list[int]:
-    """Gaps whose depth passes the median by a MAD and whose both sides are long enough."""
-    gaps = lexical_gaps(texts, policy)
+def lexical_boundaries(texts: list[str], tokens: list[int], policy: dict = SEGMENT, prose: list[bool] | None = None) -> list[int]:
+    """Gaps whose depth passes the median by a MAD, in order, where both sides are long enough: from the last one taken, and to the end.
+
+    prose tells the blocks that are compared; others are skipped, and a gap counts only between two that adjoin.
+    """
+    places = [i for i in range(len(texts)) if prose is None or prose[i]]
+    adjoin = {k for k in range(1, len(places)) if places[k] == places[k - 1] + 1}
+    gaps = [(places[k], depth) for k, _, depth in lexical_gaps([texts[i] for i in places], policy, adjoin)]
     if len(gaps) < policy["least_gaps"]:
         return []
-    depths = [d for _, _, d in gaps]
+    depths = [x for _, x in gaps]
     mid = median(depths)
-    mad = median([abs(d - mid) for d in depths])
+    mad = median([abs(x - mid) for x in depths])
     least = mid + policy["mad"] * mad if mad > 0 else policy["flat_depth"]
     out, last = [], 0
-    for at, _, depth in gaps:
-        if depth > 0 and depth >= least and sum(tokens[last:at]) >= policy["least"] and sum(tokens[at:]) >= policy["least"]:
+    for at, depth in gaps:
+        if depth >= least and sum(tokens[last:at]) >= policy["least"] and sum(tokens[at:]) >= policy["least"]:
             out.append(at)
             last = at
     return out
@@ -190,7 +197,7 @@ def units(blocks: list[dict], policy: dict = SEGMENT) -> list[dict]:
         if sum(tokens) <= policy["most"]:
             out.append({"kind": "section" if headed else "segment", "title": title, "first": a, "past": z, "boundary": "heading" if headed else "root"})
             continue
-        cut = lexical_boundaries([b["text"] for b in blocks[a:z]], tokens, policy)
+        cut = lexical_boundaries([b["text"] for b in blocks[a:z]], tokens, policy, [b["kind"] in PROSE for b in blocks[a:z]])
         for x, y in zip([0, *cut], [*cut, z - a], strict=True):
             plans = size_plan(tokens[x:y], policy) if sum(tokens[x:y]) > policy["most"] else [(0, y - x)]
             for p, q in plans:
