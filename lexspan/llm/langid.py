@@ -207,7 +207,7 @@ def _predict(shared):
                 logs = np.zeros((len(new), g + 1))
                 if spans:
                     at = np.fromiter((k for k, _ in spans), np.int64, len(spans))
-                    got = forward([s for _, s in spans], pieces, m.probs)
+                    got = forward([s for _, s in spans], pieces, m.probs) if g else None
                     for x in range(g):
                         logs[:, x] = np.bincount(at, got[:, x], len(new))
                     logs[at, g] = 1
