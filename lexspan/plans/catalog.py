@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, govern, select, streams, text
+from . import cards, documents, govern, select, streams, text
 
-_MODULES = (text, select, govern, documents, streams)
+_MODULES = (text, select, govern, documents, cards, streams)
 FLAGSHIP = "hybrid_context"
 
 
