@@ -175,3 +175,34 @@ def piece_counts(file: str, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndar
     d = pc.dictionary_encode(arr)
     _, end = _ids(file, d.dictionary)
     return at, np.diff(end, prepend=0)[d.indices.to_numpy()]
+
+
+_LISTS = tuple(x.tolist() for x in (_WS, _ALNUM, _SOLID, _MARK))
+
+
+def small_piece_counts(file: str, text: bytes) -> tuple[list[int], list[int]]:
+    """(bytes, ids) of the pieces of one short text, by the rules of cuts() without arrays."""
+    ws, alnum, solid, mark = _LISTS
+    at = [0]
+    for i in range(1, len(text)):
+        c, p = text[i], text[i - 1]
+        if ws[c]:
+            if solid[p] or (p >= 0x80 and i > 2 and text[i - 2] != 0xC2 and not 0xE1 <= text[i - 3] <= 0xE3):
+                at.append(i)
+        elif mark[c] and alnum[p]:
+            at.append(i)
+    at.append(len(text))
+    kept = _cache.setdefault(file, {b"\xff": b""})
+    sizes, counts = [], []
+    for a, z in zip(at, at[1:], strict=False):
+        piece = text[a:z]
+        ids = kept.get(piece)
+        if ids is None:
+            one, t = _single(file)(piece), tokenizer(file)
+            found = [y.id for y in t.model.tokenize(one)] if one is not None else t.encode(piece.decode(), add_special_tokens=False).ids
+            ids = array.array("I", found).tobytes()
+            if len(piece) <= KEPT_BYTES and len(kept) < KEPT:
+                kept[piece] = ids
+        sizes.append(z - a)
+        counts.append(len(ids) // 4)
+    return sizes, counts

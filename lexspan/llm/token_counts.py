@@ -22,6 +22,7 @@ from . import _text, _tokens
 
 LEAVES = 64  # leaves in a bottom node
 CONTEXT = 3  # bytes before a place that decide whether text may be cut there
+SMALL = 512  # bytes up to which a text is cut without arrays
 EDIT = "array<struct<at:bigint,remove:bigint,insert:string>>"
 
 
@@ -29,36 +30,52 @@ def pieces(file: str, text: bytes) -> tuple[list[int], list[int]]:
     """(bytes, ids) of each piece of a text."""
     if not text:
         return [], []
+    if len(text) <= SMALL:
+        return _tokens.small_piece_counts(file, text)
     buf, start = np.frombuffer(text + b"\xff", np.uint8), np.array([0, len(text) + 1])
     at, ids = _tokens.piece_counts(file, buf, start)
     return np.diff(at).tolist(), ids[:-1].tolist()
 
 
 class Tree:
-    """Bottom nodes of up to 2 * LEAVES leaves, and a binary tree of sums over them."""
-
-    def __init__(self, text: bytes, sizes: list[int], counts: list[int]):
-        self.nodes: list[list] = []  # [text, sizes, counts]
-        at = 0
-        for i in range(0, len(sizes), LEAVES):
-            s = sizes[i : i + LEAVES]
-            self.nodes.append([text[at : at + sum(s)], s, counts[i : i + LEAVES]])
-            at += sum(s)
+    """Bottom nodes of up to 2 * LEAVES leaves, and a binary tree of sums over them.
+
+    A bottom node is a range of the text and leaves that the tree was made from, until an edit reaches it.
+    """
+
+    def __init__(self, text: bytes, sizes, counts):
+        sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
+        self._text, self._sizes, self._counts = text, sizes, counts
+        self.nodes: list[tuple | list] = []  # (first leaf, past leaf, first byte, past byte), or [text, sizes, counts]
+        self._bytes: list[int] = []
+        self._ids: list[int] = []
+        if len(sizes):
+            at = np.arange(0, len(sizes), LEAVES)
+            own = np.add.reduceat(sizes, at)
+            self._bytes, self._ids = own.tolist(), np.add.reduceat(counts, at).tolist()
+            ends = np.cumsum(own).tolist()
+            self.nodes = [(i, min(i + LEAVES, len(sizes)), z - n, z) for i, z, n in zip(at.tolist(), ends, self._bytes, strict=True)]
         self._raise()
 
+    def _node(self, i: int) -> list:
+        x = self.nodes[i]
+        if isinstance(x, tuple):
+            a, z, p, q = x
+            x = [self._text[p:q], self._sizes[a:z].tolist(), self._counts[a:z].tolist()]
+        return x
+
     def _raise(self) -> None:
         if not self.nodes:
-            self.nodes = [[b"", [], []]]
+            self.nodes, self._bytes, self._ids = [[b"", [], []]], [0], [0]
         self.width = 1 << (len(self.nodes) - 1).bit_length()
-        self.size, self.count = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, (t, _, c) in enumerate(self.nodes):
-            self.size[self.width + i], self.count[self.width + i] = len(t), sum(c)
+        pad = [0] * (self.width - len(self.nodes))
+        self.size, self.count = [0] * self.width + self._bytes + pad, [0] * self.width + self._ids + pad
         for i in range(self.width - 1, 0, -1):
             self.size[i], self.count[i] = self.size[2 * i] + self.size[2 * i + 1], self.count[2 * i] + self.count[2 * i + 1]
 
     def _update(self, node: int) -> None:
         i = self.width + node
-        self.size[i], self.count[i] = len(self.nodes[node][0]), sum(self.nodes[node][2])
+        self.size[i], self.count[i] = self._bytes[node], self._ids[node]
         i >>= 1
         while i:
             self.size[i], self.count[i] = self.size[2 * i] + self.size[2 * i + 1], self.count[2 * i] + self.count[2 * i + 1]
@@ -70,10 +87,11 @@ class Tree:
 
     @property
     def text(self) -> bytes:
-        return b"".join(n[0] for n in self.nodes)
+        return b"".join(self._text[n[2] : n[3]] if isinstance(n, tuple) else n[0] for n in self.nodes)
 
     def leaves(self) -> tuple[list[int], list[int]]:
-        return [x for n in self.nodes for x in n[1]], [x for n in self.nodes for x in n[2]]
+        nodes = [self._node(i) for i in range(len(self.nodes))]
+        return [x for n in nodes for x in n[1]], [x for n in nodes for x in n[2]]
 
     def _find(self, at: int) -> tuple[int, int]:
         """(bottom node that holds byte `at`, its first byte); the last one for the end."""
@@ -87,7 +105,8 @@ class Tree:
 
     def _byte(self, at: int) -> int:
         node, first = self._find(at)
-        return self.nodes[node][0][at - first]
+        x = self.nodes[node]
+        return self._text[x[2] + at - first] if isinstance(x, tuple) else x[0][at - first]
 
     def edit(self, file: str, at: int, remove: int, insert: bytes) -> int:
         """Replaces bytes; gives the number of bytes that were encoded again."""
@@ -103,7 +122,7 @@ class Tree:
         # bottom nodes from the one before the edit to the one that holds the last byte that cuts depend on
         left, left_first = self._find(max(a - 1, 0))
         right, right_first = self._find(min(z + CONTEXT, n - 1) if n else 0)
-        held = self.nodes[left : right + 1]
+        held = [self._node(k) for k in range(left, right + 1)]
         text = b"".join(x[0] for x in held)
         sizes, counts = [y for x in held for y in x[1]], [y for x in held for y in x[2]]
         # leaves from the one that holds the byte before the edit to the one that holds the last such byte
@@ -122,6 +141,8 @@ class Tree:
             fresh.append([text[p : p + w], sizes[k : k + step], counts[k : k + step]])
             p += w
         self.nodes[left : right + 1] = fresh
+        self._bytes[left : right + 1] = [len(x[0]) for x in fresh]
+        self._ids[left : right + 1] = [sum(x[2]) for x in fresh]
         if len(fresh) == len(held):
             for k in range(left, right + 1):
                 self._update(k)
@@ -166,10 +187,13 @@ def _edited(file: str, texts: bool):
             for k in range(0, batch.num_rows, 1024):
                 some = batch.slice(k, 1024)
                 before, after, again, n, text, sizes, counts = [], [], [], [], [], [], []
-                for t, s, c, edits in zip(*(some.column(x) for x in ("text", "_sizes", "_counts", "edits")), strict=True):
-                    tree = Tree((t.as_py() or "").encode(), s.as_py() or [], c.as_py() or [])
+                raw = some.column("text").cast(pa.binary()).to_pylist()
+                leaf = [some.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("_sizes", "_counts")]
+                ends = np.cumsum(some.column("_sizes").value_lengths().fill_null(0).to_numpy()).tolist()
+                for t, a, z, edits in zip(raw, [0, *ends], ends, some.column("edits").to_pylist(), strict=False):
+                    tree = Tree(t or b"", leaf[0][a:z], leaf[1][a:z])
                     before.append(tree.total)
-                    edits = [e for e in (edits.as_py() or []) if e is not None]
+                    edits = [e for e in (edits or []) if e is not None]
                     again.append(sum(tree.edit(file, e["at"] or 0, e["remove"] or 0, (e["insert"] or "").encode()) for e in edits))
                     after.append(tree.total)
                     n.append(tree.size[1])
