@@ -147,3 +147,35 @@ def rebuild_reasons(previous: dict, current: dict) -> list[str]:
 def equivalence_violations(incremental: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Rows that only one of the two ways to build an index has; ids are left out before."""
     return incremental.exceptAll(rebuilt).withColumn("only_in", F.lit("incremental")).unionByName(rebuilt.exceptAll(incremental).withColumn("only_in", F.lit("rebuilt")))
+
+
+def carried_chunks(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(doc_id, previous, current, how) of chunks that keep their identity: the only ones with their boundary, then with their unit, digest and split.
+
+    Both: doc_id, ord, unit, first_block, first_at, last_block, last_at, last_length, digest, split. An end at a block's length counts as the block's end.
+    """
+    bound = lambda df: df.withColumn("_end", F.when(F.col("last_at") == F.col("last_length"), F.lit(-1)).otherwise(F.col("last_at")))
+    first = unique_matches(bound(previous), bound(current), ["unit", "first_block", "first_at", "last_block", "_end"]).select("doc_id", "previous", "current", F.lit("boundary").alias("how"))
+    rest = unique_matches(without(previous, first, "previous"), without(current, first, "current"), ["unit", "digest", "split"])
+    return first.unionByName(rest.select("doc_id", "previous", "current", F.lit("content").alias("how")))
+
+
+def unit_decisions(previous: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
+    """doc_id, side (current or previous), ord and decision: inherited, new, split, merge or ambiguous for current units; deleted, split, merge or ambiguous for previous ones without a heir.
+
+    Both: doc_id, ord, blocks; a unit that shares blocks with several of the other side is a merge or has been split.
+    """
+    ex = lambda df, name: df.select("doc_id", F.col("ord").alias(name), F.explode("blocks").alias("b"))
+    over = ex(previous, "previous").join(ex(current, "current"), ["doc_id", "b"]).select("doc_id", "previous", "current").distinct()
+    back = over.groupBy("doc_id", F.col("current").alias("ord")).agg(F.count("*").alias("sources"))
+    ahead = over.groupBy("doc_id", F.col("previous").alias("ord")).agg(F.count("*").alias("heirs"))
+    widest = over.join(ahead.withColumnRenamed("ord", "previous"), ["doc_id", "previous"]).groupBy("doc_id", F.col("current").alias("ord")).agg(F.max("heirs").alias("heirs"))
+    narrow = over.join(back.withColumnRenamed("ord", "current"), ["doc_id", "current"]).groupBy("doc_id", F.col("previous").alias("ord")).agg(F.max("sources").alias("sources"))
+    kept = lambda side: matches.select("doc_id", F.col(side).alias("ord"), F.lit(True).alias("_kept"))
+    why = lambda none: F.when(F.coalesce("sources", "heirs").isNull(), none).when((F.col("heirs") > 1) & (F.col("sources") > 1), "ambiguous").when(F.col("sources") > 1, "merge").when(F.col("heirs") > 1, "split").otherwise("ambiguous")
+    c = current.select("doc_id", "ord").join(back, ["doc_id", "ord"], "left").join(widest, ["doc_id", "ord"], "left").join(kept("current"), ["doc_id", "ord"], "left")
+    p = previous.select("doc_id", "ord").join(ahead, ["doc_id", "ord"], "left").join(narrow, ["doc_id", "ord"], "left").join(kept("previous"), ["doc_id", "ord"], "left")
+    return (
+        c.select("doc_id", F.lit("current").alias("side"), "ord", F.when(F.col("_kept"), "inherited").otherwise(why("new")).alias("decision"))
+        .unionByName(p.where("_kept IS NULL").select("doc_id", F.lit("previous").alias("side"), "ord", why("deleted").alias("decision")))
+    )

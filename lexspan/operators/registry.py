@@ -151,3 +151,24 @@ def grounding(cards: DataFrame) -> DataFrame:
     }
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
     return cards.select("version_id", F.explode(found).alias("finding"))
+
+
+def retrieval_scopes(published: DataFrame) -> DataFrame:
+    """scope_id, kind and target of published scopes as a reader asks for them; a document scope without units is the whole document."""
+    target = (
+        F.when(F.col("kind") == "managed_document", F.concat_ws("|", "document_id", F.array_join(F.array_sort("unit_ids"), ",")))
+        .when(F.col("kind") == "sql_source", F.concat_ws("|", "connector", F.concat_ws(".", "schema_name", "table_name"), F.array_join(F.array_sort("columns"), ",")))
+        .otherwise(F.concat_ws("|", "connector", F.concat_ws(" ", "method", "path")))
+    )
+    return published.select("scope_id", "kind", target.alias("target"))
+
+
+def lane_status(observed: DataFrame) -> DataFrame:
+    """lane and status, from ready, failures and waiting of each lane: not_ready, degraded, behind or ready."""
+    status = F.when(~F.col("ready"), "not_ready").when(F.col("failures") > 0, "degraded").when(F.col("waiting") > 0, "behind").otherwise("ready")
+    return observed.select("lane", status.alias("status"))
+
+
+def serviceable(lanes: DataFrame) -> DataFrame:
+    """True unless a lane is not ready; true without lanes."""
+    return lanes.agg(F.coalesce(F.bool_and(F.col("status") != "not_ready"), F.lit(True)).alias("serviceable"))
