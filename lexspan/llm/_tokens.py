@@ -1,14 +1,15 @@
 """Token ids of whole texts by the tokenizers library, once for each distinct piece of text.
 
 A text is cut before white space, and between a letter or digit and a punctuation mark, only where
-no pre-token of the public tokenizers can cross; the ids of a text are then the ids of its pieces in
-order. Each distinct piece of a batch is encoded once, and short pieces stay in a bounded cache.
+no pre-token of the public tokenizers can cross and never inside a string that the tokenizer's file
+adds as one token (<|endoftext|>); the ids of a text are then the ids of its pieces in order. Each distinct piece of a batch is encoded once, and short pieces stay in a bounded cache.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -43,16 +44,37 @@ def path(name: str) -> str:
 def tokenizer(file: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(file)
+
+
+@lru_cache(4)
+def added(file: str) -> tuple[bytes, ...]:
+    """The strings that the file adds as one token each; in a text they are that token."""
+    import json
+
+    with open(file, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    for x in tokens:
+        if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized"):
+            raise ValueError(f"the added token {x['content']} does not stand for its exact bytes alone")
+    return tuple(x["content"].encode() for x in tokens)
+
+
+def holds_added(file: str, text: bytes) -> bool:
+    return any(s in text for s in added(file))
+
+
+@lru_cache(4)
+def reach(file: str) -> int:
+    """Bytes on either side of a change that may belong to an added token with it."""
+    return max(map(len, added(file)), default=1) - 1
 
 
 #: Stands after each text in the joined buffer; it is in no UTF-8 text and has no ids.
 END = 0xFF
 
 
-def cuts(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+def cuts(file: str, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Places where the joined texts may be cut: the start and end of each text and the safe places in it."""
     ok = np.zeros(len(buf), bool)
     at = np.flatnonzero(_WS[buf])
@@ -66,6 +88,12 @@ def cuts(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(_MARK[buf])
     at = at[at > 0]
     ok[at[_ALNUM[buf[at - 1]]]] = True
+    for s in added(file):
+        at = np.flatnonzero(buf[: len(buf) - len(s) + 1] == s[0]) if len(buf) >= len(s) else at[:0]
+        for k in range(1, len(s)):
+            at = at[buf[at + k] == s[k]]
+        for k in range(1, len(s)):
+            ok[at + k] = False
     ok[start[:-1]] = True
     ok[start[1:] - 1] = True
     return np.flatnonzero(ok)
@@ -149,7 +177,7 @@ def encode(file: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, total = [], np.zeros(len(start), np.int64)
     for i, j in _text.slices(start, BATCH):
         b, s = buf[start[i] : start[j]], start[i : j + 1] - start[i]
-        at = cuts(b, s)
+        at = cuts(file, b, s)
         offs = np.append(at, len(b)).astype(np.int64)
         arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(b)])
         d = pc.dictionary_encode(arr)
@@ -169,7 +197,7 @@ def encode(file: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def piece_counts(file: str, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start of each piece of joined texts, number of its ids). The byte after each text is a piece without ids."""
-    at = cuts(buf, start)
+    at = cuts(file, buf, start)
     offs = np.append(at, len(buf)).astype(np.int64)
     arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(buf)])
     d = pc.dictionary_encode(arr)
@@ -191,6 +219,9 @@ def small_piece_counts(file: str, text: bytes) -> tuple[list[int], list[int]]:
                 at.append(i)
         elif mark[c] and alnum[p]:
             at.append(i)
+    if holds_added(file, text):
+        inside = {m.start() + k for s in added(file) for m in re.finditer(re.escape(s), text) for k in range(1, len(s))}
+        at = [i for i in at if i not in inside]
     at.append(len(text))
     kept = _cache.setdefault(file, {b"\xff": b""})
     sizes, counts = [], []

@@ -2,8 +2,8 @@
 
 A leaf is a piece of text that no pre-token crosses; nodes hold the sums of bytes and ids below them. An
 edit replaces a range of bytes. Only the leaves that it touches are cut and encoded again, with the leaf
-before it and the few bytes after it that decide where text may be cut; then the sums above them are
-updated. Other leaves keep their counts.
+before it and the few bytes after it that decide where text may be cut; where the edit makes or leaves
+an added token (<|endoftext|>), all leaves that the token can reach; then the sums above them are updated. Other leaves keep their counts.
 
 Defined results: null text is the empty text, with count 0; an edit beyond the end counts from the end; an
 edit that would split a character takes in the whole character; null or empty edits change nothing;
@@ -119,16 +119,21 @@ class Tree:
             z += 1
         if a == z and not insert:
             return 0
-        # bottom nodes from the one before the edit to the one that holds the last byte that cuts depend on
-        left, left_first = self._find(max(a - 1, 0))
-        right, right_first = self._find(min(z + CONTEXT, n - 1) if n else 0)
+        # bottom nodes from the one before the edit to the one that holds the last byte that cuts or added tokens depend on
+        reach = _tokens.reach(file)
+        back, ahead = max(1, reach), max(CONTEXT, reach)
+        left, left_first = self._find(max(a - back, 0))
+        right, right_first = self._find(min(z + ahead, n - 1) if n else 0)
         held = [self._node(k) for k in range(left, right + 1)]
         text = b"".join(x[0] for x in held)
         sizes, counts = [y for x in held for y in x[1]], [y for x in held for y in x[2]]
-        # leaves from the one that holds the byte before the edit to the one that holds the last such byte
+        p, q = a - left_first, z - left_first
+        if not _tokens.holds_added(file, text[max(p - reach, 0) : p] + insert + text[q : q + reach]):
+            back, ahead = 1, CONTEXT
+        # leaves from the one that holds the first such byte before the edit to the one that holds the last after it
         ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
-        i = int(np.searchsorted(ends, max(a - 1, 0) - left_first, "right"))
-        j = min(int(np.searchsorted(ends, min(z + CONTEXT, n - 1) - left_first, "right")) + 1, len(sizes)) if n else 0
+        i = int(np.searchsorted(ends, max(a - back, 0) - left_first, "right"))
+        j = min(int(np.searchsorted(ends, min(z + ahead, n - 1) - left_first, "right")) + 1, len(sizes)) if n else 0
         x, y = (int(ends[i - 1]) if i else 0), (int(ends[j - 1]) if j else 0)
         again = text[x : a - left_first] + insert + text[z - left_first : y]
         s, c = pieces(file, again)

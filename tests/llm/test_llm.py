@@ -53,6 +53,38 @@ def test_tokens_are_the_library_s(name, spark, data):
         assert ids[off[i] : off[i + 1]].tolist() == _tokens.tokenizer(file).encode(t or "", add_special_tokens=False).ids
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x<|startoftext|>.y  <|endoftext|>\n z", "<|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>\u0338 's", "w " * 400 + "<|endoftext|>'s " + "v, " * 400]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_the_library_s(name):
+    from tokenizers import Tokenizer
+
+    file = _tokens.path(name)
+    fresh = Tokenizer.from_file(file)
+    ids, off = _tokens.encode(file, pa.array([*ADDED, *ODD], pa.string()))
+    for i, t in enumerate([*ADDED, *ODD]):
+        want = fresh.encode(t or "", add_special_tokens=False).ids
+        assert ids[off[i] : off[i + 1]].tolist() == want
+        assert sum(token_counts.pieces(file, (t or "").encode())[1]) == len(want)
+    assert off[1] == {"word_bpe_49k.json": 3, "byte_bpe_50k.json": 4}[name]
+    random.seed(5)
+    bits = ["<|endof", "text", "|>", "<|endoftext|>", "<|startoftext|>", "-", " ", "a", "<", "|", "é", ", now"]
+    for _ in range(150):
+        b = "".join(random.choices(bits, k=random.choice([6, 300]))).encode()
+        tree = token_counts.Tree(b, *token_counts.pieces(file, b))
+        for _ in range(15):
+            a, n, new = random.randint(0, len(b)), random.choice([0, 0, 1, 3, 9]), "".join(random.choices(bits, k=random.randint(0, 2))).encode()
+            tree.edit(file, a, n, new)
+            x, y = min(a, len(b)), min(a + n, len(b))
+            while 0 < x < len(b) and b[x] & 0xC0 == 0x80:
+                x -= 1
+            while y < len(b) and b[y] & 0xC0 == 0x80:
+                y += 1
+            b = b[:x] + new + b[y:] if x < y or new else b
+            assert tree.text == b and tree.total == len(fresh.encode(b.decode(), add_special_tokens=False).ids)
+
+
 # --- 1 decontamination
 
 
