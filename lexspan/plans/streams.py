@@ -75,13 +75,17 @@ def s20_m24_deterministic_embeddings(spark, d):
 
 @query("SELECT vec_id AS record_id, label FROM embeddings WHERE label = 3")
 def s9_s15_m22_index_store(spark, d):
-    """Publishes each label's vectors as an index version and reads one version back."""
+    """Publishes each label's vectors as an index of its own, for odd labels as a second version, and reads one index back."""
     import uuid
 
     s = store.Store(spark, f"{shared_dir(spark)}/lexspan-store-{uuid.uuid4().hex}", "cosine-64")
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    s.publish("label-2", "v1", e.where("label = 2"))
-    s.publish("label-3", "v1", e.where("label = 2"))
-    s.publish("label-3", "v2", e.where("label = 3"))
+    labels = sorted({r["label"] for r in e.select("label").distinct().collect()} | {3}, key=lambda x: (x is not None, x or 0))
+    for before, x in zip([labels[-1], *labels], labels, strict=False):
+        own = lambda k: e.where(F.col("label").eqNullSafe(F.lit(k)))
+        odd = x is not None and x % 2 == 1
+        if odd:
+            s.publish(f"label-{x}", "v1", own(before))
+        s.publish(f"label-{x}", "v2" if odd else "v1", own(x))
     cur = F.broadcast(s.current())  # one row for each index
     return s.records(F.col("document_index_id") == "label-3").join(cur, ["document_index_id", "index_version"]).select("record_id", "label")

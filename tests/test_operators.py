@@ -169,3 +169,17 @@ def test_store_refuses_other_records(spark, tmp_path):
     with pytest.raises(ValueError, match="other records"):
         s.publish("i", "v", one.withColumn("record_id", F.col("record_id") + 1))
     assert s.current().collect()[0].index_version == "v"
+
+
+def test_every_label_has_an_index(spark, data, monkeypatch):
+    from lexspan.plans import streams
+    from lexspan.sources import store
+
+    made = []
+    monkeypatch.setattr(store, "Store", lambda *a, real=store.Store: made.append(real(*a)) or made[-1])
+    streams.s9_s15_m22_index_store(spark, data)
+    want = spark.read.parquet(f"{data}/embeddings.parquet")
+    current = made[0].records().join(made[0].current(), ["document_index_id", "index_version"])
+    got = sorted((r.document_index_id, r.record_id) for r in current.collect())
+    assert got == sorted((f"label-{r.label}", r.vec_id) for r in want.collect())
+    assert {r.index_version for r in current.select("index_version").distinct().collect()} == {"v1", "v2"}
