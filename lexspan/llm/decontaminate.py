@@ -18,11 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import _text
 
 N_WORDS, MOST_WINDOWS = 10, 250_000
 _HITS = "row long, doc_id long, n_words long, a array<int>, z array<int>, items array<string>"
+_FOUND = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,past:int>>, items array<string>"
 
 
 def _item_windows(n: int):
@@ -48,7 +50,7 @@ def _item_windows(n: int):
 
 
 def _scan(shared):
-    """Rows of _HITS: for each document the word ranges [a, z) that windows cover, and the items."""
+    """Rows of _HITS: for each document the word ranges [a, z) that windows cover, and the items; then its carried columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: dict[bytes, list[str | None]] = shared.value[1]
@@ -93,8 +95,8 @@ def _scan(shared):
             none: tuple = ([], [], ())
             rows = [hits.get(i, none) for i in range(n)]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(n_words), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "a", "z", "items"],
+                [batch.column(0), batch.column(1), pa.array(n_words), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())), *batch.columns[3:]],
+                ["row", "doc_id", "n_words", "a", "z", "items", *batch.schema.names[3:]],
             )
 
     return run
@@ -102,7 +104,7 @@ def _scan(shared):
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        t = batch.to_pydict()
+        t = batch.select(["a", "z", "items"]).to_pydict()
         hit, span, digest = [], [], []
         for a, z, items in zip(t["a"], t["z"], t["items"], strict=True):
             merged: list[list[int]] = []
@@ -116,18 +118,24 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
         items = [sorted(set(x)) for x in t["items"]]
         yield pa.record_batch(
-            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(span, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-            ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
+            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(span, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[6:]],
+            ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", *batch.schema.names[6:]],
         )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, most: int = MOST_WINDOWS) -> DataFrame:
     """One row for each document: row (its number in this scan), doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
+    return _scanned(docs, benchmark, n, most, [])
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most: int, carried: list[str]) -> DataFrame:
+    """scan(), each row followed by its own columns `carried`."""
     spark = docs.sparkSession
     windows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_item_windows(n), "item string, size int, key long, words binary")
     windows = windows.groupBy("size", "key", "words").agg(F.collect_set("item").alias("items"), F.count("*").alias("k")).cache()
     parts = max(1, -(-windows.count() // most))
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    own = docs.select(*carried).schema.fields
     found = None
     for p in range(parts):
         keys: dict[int, list[int]] = {}
@@ -136,13 +144,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, most: int = MO
             keys.setdefault(r["size"], []).append(r["key"])
             names[bytes(r["words"])] = r["items"]
         shared = spark.sparkContext.broadcast(({m: np.unique(np.array(k, np.int64)).view(np.uint64) for m, k in keys.items()}, names))
-        one = source.mapInArrow(_scan(shared), _HITS)
+        # the first set's rows bring the carried columns, which have no other value in the others'
+        these = source if not p else source.select("row", "doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
+        one = these.mapInArrow(_scan(shared), StructType([*StructType.fromDDL(_HITS).fields, *own]))
         found = one if found is None else found.unionAll(one)
     windows.unpersist()
     if parts > 1:
         gather = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most `parts` lists for each row
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), gather("a"), gather("z"), gather("items"))
-    return found.mapInArrow(_covered, "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,past:int>>, items array<string>")
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), gather("a"), gather("z"), gather("items"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
+    return found.mapInArrow(_covered, StructType([*StructType.fromDDL(_FOUND).fields, *own]))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +176,16 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N_WORDS, share: float = 0.0) -> DataFrame:
     """docs without contaminated documents (those with more than `share` of their words hit), or without the hit spans of words.
 
-    Documents are told apart by doc_id; all rows of a contaminated doc_id go.
+    Each row is judged and cut by its own text, whatever its doc_id: rows that share one or have none included.
     """
-    found = scan(docs, benchmark, n)
-    bad = found.where(F.col("contaminated") & (F.col("n_hit") > F.lit(share) * F.col("n_words")))
-    if what == "documents":
-        return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
-    if what != "spans":
+    if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
-    spans = bad.groupBy("doc_id").agg(F.max("spans").alias("_spans"))
-    return docs.join(spans, "doc_id", "left").mapInArrow(_cut_out, docs.join(spans, "doc_id", "left").drop("_spans").schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    slim = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)])
+    found = _scanned(slim, benchmark, n, MOST_WINDOWS, names)
+    bad = F.col("contaminated") & (F.col("n_hit") > F.lit(share) * F.col("n_words"))
+    back = [F.col(x).alias(c) for x, c in zip(names, docs.columns, strict=True)]
+    if what == "documents":
+        return found.where(~bad).select(*back)
+    cut = found.select(*back, F.when(bad, F.col("spans")).alias("_spans"))
+    return cut.mapInArrow(_cut_out, docs.schema)

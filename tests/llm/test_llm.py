@@ -108,6 +108,19 @@ def test_decontamination(spark):
     assert decontaminate.scan(docs(spark, []), bench).count() == 0
 
 
+def test_rows_are_decontaminated_one_by_one(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[40:52]))], "item_id long, text string")
+    rows = [(None, "x " + " ".join(words[5:18])), (None, "clean"), (7, " ".join(words[40:51])), (7, "also clean"), (7, "a b c d e f " + " ".join(words[:12]) + " z"), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", str(k), k) for k, (i, t) in enumerate(rows)], DOCS)
+    for most in (250_000, 5):
+        monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
+        out = decontaminate.remove(df, bench)
+        assert out.columns == df.columns and sorted(r.n_chars for r in out.collect()) == [1, 3, 5]
+        cut = {r.n_chars: (r.doc_id, r.text, r.source) for r in decontaminate.remove(df, bench, "spans").collect()}
+        assert cut == {0: (None, "x ", "0"), 1: (None, "clean", "1"), 2: (7, "", "2"), 3: (7, "also clean", "3"), 4: (7, "a b c d e f  z", "4"), 5: (8, None, "5")}
+
+
 # --- 2 license scans
 
 
