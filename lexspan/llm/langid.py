@@ -161,15 +161,17 @@ class Model:
 
 
 def fit(docs: DataFrame, file: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """docs: text and lang of the texts to learn from. About `sample` texts a language are drawn, evenly by a hash of the text."""
+    """docs: text and lang of the texts to learn from. About `sample` different texts a language are drawn, evenly by a hash of the text; copies count in the priors alone."""
     file = file or _tokens.path(VOCABULARY)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("k"))
+    sizes = hashed.groupBy("lang").agg(F.sum("k").alias("k"), F.count("*").alias("texts")).collect()
+    total, texts = {r["lang"]: r["k"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
     langs = sorted(total)
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, 0)), file)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample / total[k])))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20))
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample / texts[k])))])
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20)).distinct()
     counts = drawn.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pieces = Pieces(vocabulary(file))
     table = counts.toArrow()

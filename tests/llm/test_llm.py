@@ -389,6 +389,13 @@ def test_language(spark, data):
     assert langid.predict(docs(spark, ["a"]), empty, "doc_id").first().lang_pred == "und"
 
 
+def test_copies_do_not_shrink_what_languages_are_learnt_from(spark):
+    random.seed(6)
+    texts = ["".join(random.choices("abcdefgh", k=30)) for _ in range(60)]
+    one = lambda x: langid.fit(spark.createDataFrame([(t, "en") for t in x], "text string, lang string"), sample=100)
+    assert np.allclose(one(texts + texts[:1] * 3000).probs, one(texts).probs)
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["▁", "▁a", "a", "b", "ab"])
     p = np.array([[0.1], [0.2], [0.3], [0.05], [0.15], [1e-8]])
