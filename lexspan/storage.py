@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder where that is unset, as in tests."""
+    """spark.checkpoint.dir. Where that is unset, a local folder in local mode, as in tests; an error on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     return (at or f"file:///tmp/checkpoints/{sc.applicationId}").rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lexspan-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: what follows does not compute them again, and lost executors cost nothing."""
-    at = f"{shared_dir(df.sparkSession)}/lexspan-{name}-{uuid.uuid4().hex}"
+    at = new_folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
