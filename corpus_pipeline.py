@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written and read again as the next stage's docs. All but the last return the columns of documents.
+
+Every stage takes all rows, decides each by its own text, and keeps columns of any name. Null and empty
+texts: quality scores them by zero statistics; language drops them, having none; near duplicates keep
+them; packing gives them the end id. Rows without a doc_id take part in all stages, but near duplicates
+keep them without comparing. Repeated rows are scored alike; near duplicates keep one row of a doc_id,
+that with the first hash of its text. Empty tables give empty tables.
 """
 
 from __future__ import annotations

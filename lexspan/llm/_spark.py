@@ -1,31 +1,85 @@
-"""Session helpers of this subpackage: the shared folder, tables written there, whole files."""
+"""Session helpers of this subpackage: tables in the shared folder, bounded Arrow passes, whole files."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..storage import new_folder, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; a local one where that is unset, as in tests."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file:///tmp/checkpoints/{sc.applicationId}"
-    return at.rstrip("/")
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "appended", "bounded", "new_folder", "read_file", "shared_dir", "write_file", "written"]
 
+#: Of a batch that a pass works on at once; a single longer row is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexspan-{name}-{uuid.uuid4().hex}"
+Batches = Iterator[pa.RecordBatch]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    at = new_folder(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def release() -> None:
+    """Gives freed memory back to the machine: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def _sliced(batches: Batches) -> Batches:
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            yield batch
+            continue
+        rows = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(batch.nbytes, 1)))
+        for i in range(0, n, rows):
+            yield batch.slice(i, rows)
+
+
+def bounded(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run over batches of bounded size; the worker's freed memory is given back at the end of each task."""
+
+    @functools.wraps(run)
+    def passed(batches: Batches) -> Batches:
+        try:
+            yield from run(_sliced(batches))
+        finally:
+            release()
+
+    return passed
+
+
+def appended(docs: DataFrame, column: str, run: Callable[[Iterator[pa.Array]], Iterator[list[pa.Array]]], fields: list[StructField]) -> DataFrame:
+    """docs with the columns _x0, _x1, ... that run makes of each batch of `column` (as string); its own are c0, c1, ... .
+
+    Names in docs can't clash with anything, and the column goes to Python once and back once.
+    """
+    at = docs.columns.index(column)
+    slim = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    extra = [StructField(f"_x{i}", f.dataType) for i, f in enumerate(fields)]
+    cast = docs.schema[at].dataType.typeName() != "string"
+    if cast:
+        slim = slim.withColumn("_cast", F.col(f"c{at}").cast("string"))
+
+    def mapped(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                held.append(batch)
+                yield batch.column(len(batch.schema) - 1 if cast else at)
+
+        for new in run(texts()):
+            batch = held.pop()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[f.name for f in extra]])
+
+    return slim.mapInArrow(bounded(mapped), StructType([*slim.schema.fields, *extra]))
 
 
 def _local(at: str) -> str | None:

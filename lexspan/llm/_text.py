@@ -7,12 +7,12 @@ cut outside words, which bounds the temporary arrays whatever the length of a te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _U = np.uint64
 
 
@@ -30,20 +30,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 mix = _mix
 
-#: One random odd factor per byte value and one per place in a word.
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+#: One random odd factor per eight bytes of a word, by their place.
 _PLACE = _mix(np.arange(1, 65537, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+Inside = Callable[[np.ndarray], np.ndarray]
 
-#: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing: digits, letters and every non-ASCII byte.
-ALNUM = np.zeros(256, bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    ALNUM[_a:_b] = True
-#: [^\x20\x09-\x0D]
-SPACED = np.ones(256, bool)
-SPACED[[32, 9, 10, 11, 12, 13]] = False
+
+def lower(b: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all other bytes as they are."""
+    return b + ((b - np.uint8(65) < np.uint8(26)).view(np.uint8) << np.uint8(5))
+
+
+def alnum(b: np.ndarray) -> np.ndarray:
+    """[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing: digits, letters and every non-ASCII byte."""
+    return (b - np.uint8(48) < np.uint8(10)) | ((b | np.uint8(32)) - np.uint8(97) < np.uint8(26)) | (b > np.uint8(127))
+
+
+def spaced(b: np.ndarray) -> np.ndarray:
+    """[^\\x20\\x09-\\x0D]"""
+    return (b != np.uint8(32)) & (b - np.uint8(9) > np.uint8(4))
 
 
 def join(texts: pa.Array | pa.ChunkedArray, between: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -68,32 +74,54 @@ def join(texts: pa.Array | pa.ChunkedArray, between: int = 32) -> tuple[np.ndarr
     return out, start
 
 
-def words(buf: np.ndarray, inside: np.ndarray, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def edges(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, past) of the runs of True."""
+    if not len(k):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    e = np.flatnonzero(k[1:] != k[:-1]) + 1
+    e = np.concatenate(([0] if k[0] else [], e, [len(k)] if k[-1] else [])).astype(np.int64)
+    return e[::2], e[1::2]
+
+
+def _hashes(b: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """64-bit hash of the lower-cased bytes of each word: its groups of eight bytes, mixed, each times the factor of its place."""
+    low = np.zeros(len(b) + 8, np.uint8)
+    low[:-8] = lower(b)
+    eight = np.ndarray((len(low) - 7,), _U, low, 0, (1,))
+    size = z - a
+    with np.errstate(over="ignore"):
+        h = _mix(eight[a] & _FIRST[np.minimum(size, 8)]) * _PLACE[0]
+        rows, c = np.flatnonzero(size > 8), 1
+        while len(rows):
+            if c == 64:  # the rest of very long words, a word at a time
+                for r in rows.tolist():
+                    at = np.arange(512, int(size[r]), 8)
+                    x = eight[a[r] + at] & _FIRST[np.minimum(size[r] - at, 8)]
+                    h[r] += (_mix(x + (at >> 19).astype(_U)) * _PLACE[(at >> 3) & 65535]).sum(dtype=_U)
+                break
+            x = eight[a[rows] + 8 * c] & _FIRST[np.minimum(size[rows] - 8 * c, 8)]
+            h[rows] += _mix(x) * _PLACE[c]
+            c += 1
+            rows = rows[size[rows] > 8 * c]
+        return _mix(h + size.astype(_U))
+
+
+def words(buf: np.ndarray, inside: Inside, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first byte, byte after, 64-bit hash of the lower-cased bytes) of the words of each segment."""
     at, end = 0, len(buf)
     while at < end:
         to = min(end, at + segment)
-        while to < end and inside[buf[to]]:  # a word is never cut
-            ahead = ~inside[buf[to : to + 65536]]
+        while to < end and inside(buf[to : to + 1])[0]:  # a word is never cut
+            ahead = ~inside(buf[to : to + 65536])
             to += int(ahead.argmax()) if ahead.any() else len(ahead)
         b = buf[at:to]
-        k = inside[b]
-        edge = np.diff(np.concatenate(([False], k, [False])).view(np.int8))
-        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        a, z = edges(inside(b))
         if len(a):
-            size = z - a
-            first = np.cumsum(size) - size
-            place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
-            with np.errstate(over="ignore"):
-                terms = _BYTE[LOWER[b[k]]] * _PLACE[place & 65535]
-                if size.max() > 65536:
-                    terms += _mix(place >> 16)
-                h = _mix(np.add.reduceat(terms, first) + size.astype(_U))
-            yield a + at, z + at, h
+            yield a + at, z + at, _hashes(b, a, z)
         at = to
 
 
-def all_words(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_words(buf: np.ndarray, inside: Inside) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words() of the whole buffer."""
     got = list(words(buf, inside))
     if not got:

@@ -21,7 +21,7 @@ from . import _text
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are encoded at once, and pieces that a worker keeps.
-BATCH, KEPT, KEPT_BYTES = 8 << 20, 250_000, 24
+BATCH, KEPT, KEPT_BYTES = 4 << 20, 120_000, 24
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 13, 32]] = True

@@ -2,29 +2,30 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `n` consecutive
 words of an item; an item with fewer words, but not none, is one window. The windows' hashes are a
-broadcast set of at most `most` windows; a larger benchmark is split by hash into sets of that size,
-each scanned by a job of its own, and the hits of a document are then put together. Every hash hit
-is verified on the words themselves.
+broadcast set of about `most` windows. A larger benchmark is split by hash into sets of that size: the
+documents are then written with row numbers, each set is scanned by a job of its own, its hits are
+written and its broadcast destroyed before the next, and the hits of each row are put together. Every
+hash hit is verified on the words themselves.
 
 Defined results: null or empty texts have no words and no hits; items with a null id count as hits but
-not among the items; repeated rows give repeated results; an empty benchmark hits nothing.
+not among the items; rows are judged and cut each by its own text, whatever its doc_id, so repeated rows
+give repeated results and rows without a doc_id go like others; an empty benchmark hits nothing; an
+empty table gives no rows; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from . import _text
+from . import _spark, _text
 
 N_WORDS, MOST_WINDOWS = 10, 250_000
-_HITS = "row long, doc_id long, n_words long, a array<int>, z array<int>, items array<string>"
-_FOUND = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,past:int>>, items array<string>"
+_SPAN = StructType([StructField("first", IntegerType()), StructField("past", IntegerType())])
 
 
 def _item_windows(n: int):
@@ -33,11 +34,11 @@ def _item_windows(n: int):
             ids, size, key, text = [], [], [], []
             for item, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 buf, _ = _text.join(pa.array([body.as_py()], pa.string()))
-                a, z, h = _text.all_words(buf, _text.ALNUM)
+                a, z, h = _text.all_words(buf, _text.alnum)
                 m = min(n, len(a))
                 if not m:
                     continue
-                low = _text.LOWER[buf].tobytes()
+                low = _text.lower(buf).tobytes()
                 w = [low[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 for i, x in enumerate(_text.window_hashes(h, m).view(np.int64).tolist()):
                     ids.append(item)
@@ -49,25 +50,37 @@ def _item_windows(n: int):
     return run
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y))
+        else:
+            out.append((x, y))
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+
+
 def _scan(shared):
-    """Rows of _HITS: for each document the word ranges [a, z) that windows cover, and the items; then its carried columns."""
+    """For each text: its number of words, the word ranges that windows cover, and the items."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         windows: dict[bytes, list[str | None]] = shared.value[1]
         sizes = []
         for m, keys in shared.value[0].items():
             bits = np.zeros(1 << 22, bool)
             bits[(keys >> np.uint64(42)).astype(np.int64)] = True
             sizes.append((m, np.sort(keys), bits))
-        for batch in batches:
-            texts = batch.column(2)
+        for texts in batches:
             buf_all, start_all = _text.join(texts)
             n = len(texts)
             n_words = np.zeros(n, np.int64)
-            hits: dict[int, tuple[list[int], list[int], set[str]]] = {}
+            hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
             for i, j in _text.slices(start_all):
                 buf, start = buf_all[start_all[i] : start_all[j]], start_all[i : j + 1] - start_all[i]
-                a, z, h = _text.all_words(buf, _text.ALNUM)
+                a, z, h = _text.all_words(buf, _text.alnum)
                 first = np.searchsorted(a, start)
                 count = np.diff(first)
                 n_words[i:j] = count
@@ -80,112 +93,119 @@ def _scan(shared):
                     place = np.minimum(np.searchsorted(keys, w[at]), len(keys) - 1)
                     at = at[(keys[place] == w[at]) & (doc[at] == doc[at + m - 1])]
                     for k in at.tolist():
-                        found = windows.get(b" ".join([_text.LOWER[buf[a[x] : z[x]]].tobytes() for x in range(k, k + m)]))
+                        found = windows.get(b" ".join([_text.lower(buf[a[x] : z[x]]).tobytes() for x in range(k, k + m)]))
                         if found is None:
                             continue
                         d = int(doc[k])
-                        s, e, names = hits.setdefault(i + d, ([], [], set()))
+                        spans, names = hits.setdefault(i + d, ([], set()))
                         p = k - int(first[d])
-                        if s and s[-1] <= p <= e[-1]:
-                            e[-1] = max(e[-1], p + m)
+                        if spans and spans[-1][0] <= p <= spans[-1][1]:
+                            spans[-1] = (spans[-1][0], max(spans[-1][1], p + m))
                         else:
-                            s.append(p)
-                            e.append(p + m)
+                            spans.append((p, p + m))
                         names.update(x for x in found if x is not None)
-            none: tuple = ([], [], ())
-            rows = [hits.get(i, none) for i in range(n)]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(n_words), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())), *batch.columns[3:]],
-                ["row", "doc_id", "n_words", "a", "z", "items", *batch.schema.names[3:]],
-            )
+            rows = [hits.get(i, ([], ())) for i in range(n)]
+            spans = [[{"first": x, "past": y} for x, y in _merged(r[0])] for r in rows]
+            yield [pa.array(n_words), pa.array(spans, _SPANS), pa.array([sorted(r[1]) for r in rows], pa.list_(pa.string()))]
 
     return run
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans that several sets found in a row as one list."""
     for batch in batches:
-        t = batch.select(["a", "z", "items"]).to_pydict()
-        hit, span, digest = [], [], []
-        for a, z, items in zip(t["a"], t["z"], t["items"], strict=True):
-            merged: list[list[int]] = []
-            for x, y in sorted(zip(a, z, strict=True)):
-                if merged and x <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], y)
-                else:
-                    merged.append([x, y])
-            hit.append(sum(y - x for x, y in merged))
-            span.append([{"first": x, "past": y} for x, y in merged])
-            digest.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
-        items = [sorted(set(x)) for x in t["items"]]
-        yield pa.record_batch(
-            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(span, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[6:]],
-            ["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", *batch.schema.names[6:]],
-        )
+        found = [_merged([(s["first"], s["past"]) for own in r for s in own]) for r in batch.column("spans").to_pylist()]
+        items = [sorted({x for own in r for x in own}) for r in batch.column("items").to_pylist()]
+        yield pa.record_batch([batch.column("row"), pa.array([[{"first": x, "past": y} for x, y in r] for r in found], _SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "spans", "items"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, most: int = MOST_WINDOWS) -> DataFrame:
-    """One row for each document: row (its number in this scan), doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
-    return _scanned(docs, benchmark, n, most, [])
-
-
-def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most: int, carried: list[str]) -> DataFrame:
-    """scan(), each row followed by its own columns `carried`."""
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, most: int | None) -> DataFrame:
+    """docs with its columns as c0, c1, ..., and of each text: _x0 its number of words, _x1 the covered ranges of words, _x2 the items."""
     spark = docs.sparkSession
-    windows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_item_windows(n), "item string, size int, key long, words binary")
-    windows = windows.groupBy("size", "key", "words").agg(F.collect_set("item").alias("items"), F.count("*").alias("k")).cache()
-    parts = max(1, -(-windows.count() // most))
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
-    own = docs.select(*carried).schema.fields
-    found = None
-    for p in range(parts):
+    windows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_spark.bounded(_item_windows(n)), "item string, size int, key long, words binary")
+    windows = _spark.written(windows.groupBy("size", "key", "words").agg(F.collect_set("item").alias("items")), "windows")
+    parts = max(1, -(-windows.count() // (most or MOST_WINDOWS)))
+    fields = [StructField("n", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType()))]
+
+    def sent(p: int):
         keys: dict[int, list[int]] = {}
         names: dict[bytes, list[str]] = {}
-        for r in windows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p).toLocalIterator():  # at most about `most` rows
+        for r in windows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p).toLocalIterator():  # about `most` rows
             keys.setdefault(r["size"], []).append(r["key"])
             names[bytes(r["words"])] = r["items"]
-        shared = spark.sparkContext.broadcast(({m: np.unique(np.array(k, np.int64)).view(np.uint64) for m, k in keys.items()}, names))
-        # the first set's rows bring the carried columns, which have no other value in the others'
-        these = source if not p else source.select("row", "doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
-        one = these.mapInArrow(_scan(shared), StructType([*StructType.fromDDL(_HITS).fields, *own]))
-        found = one if found is None else found.unionAll(one)
-    windows.unpersist()
-    if parts > 1:
-        gather = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most `parts` lists for each row
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), gather("a"), gather("z"), gather("items"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
-    return found.mapInArrow(_covered, StructType([*StructType.fromDDL(_FOUND).fields, *own]))
-
-
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            if text is None or not spans:
-                out.append(text)
-                continue
-            buf, _ = _text.join(pa.array([text], pa.string()))
-            a, z, _ = _text.all_words(buf, _text.ALNUM)
-            raw, at, kept = text.encode(), 0, []
-            for s in spans:
-                kept.append(raw[at : int(a[s["first"]])])
-                at = int(z[s["past"] - 1])
-            out.append(b"".join([*kept, raw[at:]]).decode())
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["_spans"])
-
-
-def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N_WORDS, share: float = 0.0) -> DataFrame:
+        return spark.sparkContext.broadcast(({m: np.unique(np.array(k, np.int64)).view(np.uint64) for m, k in keys.items()}, names))
+
+    if parts == 1:
+        return _spark.appended(docs, "text", _scan(sent(0)), fields)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = _spark.written(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    texts, hits = numbered.select("row", F.col(f"c{docs.columns.index('text')}").alias("text")), None
+    for p in range(parts):
+        shared = sent(p)
+        scanned = _spark.appended(texts, "text", _scan(shared), fields).select(F.col("c0").alias("row"), F.col("_x0").alias("n"), F.col("_x1").alias("spans"), F.col("_x2").alias("items"))
+        # the first set's rows tell the number of words of every text
+        some = _spark.written(scanned if not p else scanned.where(F.size("spans") > 0), "hits")
+        shared.destroy()
+        if not p:
+            sizes = some.select("row", "n")
+            some = some.where(F.size("spans") > 0)
+        some = some.select("row", "spans", "items")
+        hits = some if hits is None else hits.unionAll(some)
+    gathered = hits.groupBy("row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # `parts` lists at most
+    merged = gathered.mapInArrow(_spark.bounded(_joined), StructType([StructField("row", LongType()), *fields[1:]]))
+    whole = numbered.join(sizes, "row").join(merged, "row", "left")
+    return whole.select(*own, F.col("n").alias("_x0"), F.coalesce("spans", F.array().cast(fields[1].dataType)).alias("_x1"), F.coalesce("items", F.array().cast(fields[2].dataType)).alias("_x2"))
+
+
+def _hit():
+    """The number of words in the covered ranges."""
+    return F.aggregate("_x1", F.lit(0).cast("long"), lambda s, x: s + (x["past"] - x["first"]))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, most: int = MOST_WINDOWS) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
+    found = _found(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, n, most).withColumn("hit", _hit())
+    digest = F.sha2(F.array_join(F.array_sort("_x2"), ",").cast("binary"), 256)
+    return found.select(
+        F.col("c0").cast("long").alias("doc_id"), F.col("_x0").alias("n_words"), F.col("hit").alias("n_hit"), F.size("_x2").cast("long").alias("n_items"), digest.alias("items_sha256"),
+        (F.col("hit") > 0).alias("contaminated"), F.col("_x1").alias("spans"), F.col("_x2").alias("items"),
+    )
+
+
+def _cut(text: str | None, spans: list[dict] | None) -> str | None:
+    if text is None or not spans:
+        return text
+    buf, _ = _text.join(pa.array([text], pa.string()))
+    a, z, _ = _text.all_words(buf, _text.alnum)
+    raw, at, kept = text.encode(), 0, []
+    for s in spans:
+        kept.append(raw[at : int(a[s["first"]])])
+        at = int(z[s["past"] - 1])
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _cut_out(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_cut(t, s) for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N_WORDS, share: float = 0.0, most: int | None = None) -> DataFrame:
     """docs without contaminated documents (those with more than `share` of their words hit), or without the hit spans of words.
 
     Each row is judged and cut by its own text, whatever its doc_id: rows that share one or have none included.
     """
     if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    slim = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)])
-    found = _scanned(slim, benchmark, n, MOST_WINDOWS, names)
-    bad = F.col("contaminated") & (F.col("n_hit") > F.lit(share) * F.col("n_words"))
-    back = [F.col(x).alias(c) for x, c in zip(names, docs.columns, strict=True)]
+    own, place = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+    found = _found(docs, benchmark, n, most)
+    bad = (_hit() > 0) & (_hit() > F.lit(share) * F.col("_x0"))
     if what == "documents":
-        return found.where(~bad).select(*back)
-    cut = found.select(*back, F.when(bad, F.col("spans")).alias("_spans"))
-    return cut.mapInArrow(_cut_out, docs.schema)
+        return found.where(~bad).select(*own).toDF(*docs.columns)
+    kinds = StructType([StructField(c, f.dataType) for c, f in zip(own, docs.schema.fields, strict=True)])
+    return found.select(*own, F.when(bad, F.col("_x1")).alias("_spans")).mapInArrow(_spark.bounded(_cut_out(place)), kinds).toDF(*docs.columns)

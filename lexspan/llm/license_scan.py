@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text
+from . import _spark, _text
 
 N, SHARE, BANDS = 5, 0.8, 16
 
@@ -59,7 +59,7 @@ class Index:
         self.groups: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
         for name in sorted(templates):
             buf, _ = _text.join(pa.array([templates[name]]))
-            _, _, h = _text.all_words(buf, _text.ALNUM)
+            _, _, h = _text.all_words(buf, _text.alnum)
             k = min(n, len(h))
             if k:
                 s = np.unique(_text.window_hashes(h, k))
@@ -130,7 +130,7 @@ def _scan(index: Index, share: float):
             words = np.zeros(batch.num_rows, np.int64)
             for i, j in _text.slices(start_all):
                 buf, start = buf_all[start_all[i] : start_all[j]], start_all[i : j + 1] - start_all[i]
-                a, _, h = _text.all_words(buf, _text.ALNUM)
+                a, _, h = _text.all_words(buf, _text.alnum)
                 first = np.searchsorted(a, start)
                 words[i:j] = np.diff(first)
                 for d, name, got, x, y in index.find(h, first[:-1], np.diff(first)):
@@ -146,4 +146,4 @@ def scan(docs: DataFrame, *keep: str, templates: dict[str, str] | None = None, s
     """The columns `keep` of docs, n_words, and licenses: array of (license, share, first, past), the words of the best stretch."""
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.drop("text").schema)
-    return slim.mapInArrow(_scan(Index(TEMPLATES if templates is None else templates), share), f"{fields}n_words long, licenses array<struct<license:string,share:double,first:int,past:int>>")
+    return slim.mapInArrow(_spark.bounded(_scan(Index(TEMPLATES if templates is None else templates), share)), f"{fields}n_words long, licenses array<struct<license:string,share:double,first:int,past:int>>")

@@ -178,7 +178,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(docs: DataFrame, file: str, end_id: int = 0, length: int = LENGTH, group: int = GROUP, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = _spark.written(slim.mapInArrow(_pieces(file, end_id, length), "doc_id long, piece int, start long, length long, ids_crc32 long, r long"), "pieces")
+    pieces = _spark.written(slim.mapInArrow(_spark.bounded(_pieces(file, end_id, length)), "doc_id long, piece int, start long, length long, ids_crc32 long, r long"), "pieces")
     n = max(1, -(-pieces.count() // group))
     row = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     groups = _spark.written(pieces.groupBy(F.pmod("r", F.lit(n)).alias("grp")).agg(F.sort_array(F.collect_list(row)).alias("pieces")), "groups")
@@ -186,9 +186,9 @@ def pack(docs: DataFrame, file: str, end_id: int = 0, length: int = LENGTH, grou
     none = F.lit(None).cast("binary")
     state = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", none.alias("own"), none.alias("guest")).repartition("grp", "island")
     out = "grp long, island int, sizes binary, own binary, score double"
-    state = _spark.written(state.mapInArrow(_island(length, 1), out), "elites")
+    state = _spark.written(state.mapInArrow(_spark.bounded(_island(length, 1)), out), "elites")
     for k in range(1, rounds):
         guest = state.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("own").alias("guest"))
-        state = _spark.written(state.join(guest, ["grp", "island"]).select("grp", "island", "sizes", "own", "guest").mapInArrow(_island(length, 1 + k), out), "elites")
+        state = _spark.written(state.join(guest, ["grp", "island"]).select("grp", "island", "sizes", "own", "guest").mapInArrow(_spark.bounded(_island(length, 1 + k)), out), "elites")
     best = state.groupBy("grp").agg(F.max_by("own", F.struct("score", -F.col("island"))).alias("own"))
-    return groups.join(best, "grp").select("grp", "pieces", "own").mapInArrow(_placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return groups.join(best, "grp").select("grp", "pieces", "own").mapInArrow(_spark.bounded(_placed), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from . import _text
+from . import _spark, _text
 
 SAMPLE, TREES, DEPTH, PENALTY = 20_000, 24, 3, 0.002
 
@@ -32,21 +33,37 @@ _CLASS = {
     "marks": b"$%&#*@^~=+_\\", "bars": b"|", "shouts": b"!", "high": bytes(range(128, 256)), "stops": b".?", "commas": b",;", "other": bytes([*range(9), *range(14, 32), 127]), "angle": b"<>{}[]", "url_marks": b":/",
 }
 _IS = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASS.items()}
+_CLASSES = np.stack([_IS[k] for k in _CLASS], axis=1).astype(float)
 _MARKS = np.isin(np.arange(256), list(b"$%&#*@^~=+_|!<>{}[]"))
+_U = np.uint64
+
+
+def _class_counts(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The bytes of each class (column) in each text (row), from a histogram of the text's bytes."""
+    out = np.empty((len(start) - 1, len(_CLASS)))
+    for i in range(0, len(out), 1024):
+        ends = list(zip(start[i : i + 1024].tolist(), (start[i + 1 : i + 1025] - 1).tolist(), strict=False))
+        rows = np.zeros((len(ends), 256), np.int64)
+        for d, (a, z) in enumerate(ends):
+            for x in range(a, z, _text.SEGMENT):
+                rows[d] += np.bincount(buf[x : min(z, x + _text.SEGMENT)], minlength=256)
+        out[i : i + 1024] = rows @ _CLASSES
+    return out
 
 
 def _repeats(key: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, distinct keys, count of the commonest key) of each text."""
+    """(keys, distinct keys, count of the commonest key) of each text; 44 bits of a key tell it from others in its text."""
     count = np.bincount(doc, minlength=n)
+    top = np.zeros(n, np.int64)
     if not len(key):
-        return count, np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order = np.lexsort((key, doc))
-    k, d = key[order], doc[order]
-    new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
-    size = np.diff(np.append(new, len(k)))
-    distinct, top = np.bincount(d[new], minlength=n), np.zeros(n, np.int64)
-    np.maximum.at(top, d[new], size)
-    return count, distinct, top
+        return count, top, top
+    x = np.sort((doc.astype(_U) << _U(44)) | (key >> _U(20)))
+    new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    size = np.diff(np.append(new, len(x)))
+    d = (x[new] >> _U(44)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    top[d[head]] = np.maximum.reduceat(size, head)
+    return count, np.bincount(d, minlength=n), top
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -59,14 +76,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
         size = np.diff(start) - 1
         per = np.maximum(size, 1)
         s: dict[str, np.ndarray] = {"bytes_log": np.log1p(size)}
-        for k, t in _IS.items():
-            total = np.add.reduceat(t[buf], start[:-1], dtype=np.int64)
-            if k == "spaces":
-                total -= 1  # the one that stands between texts
-            s[k] = total / per
-        lines_n = np.round(s["lines"] * per) + 1
-        stops_n = np.round(s["stops"] * per) + 1
-        a, z, h = _text.all_words(buf, _text.SPACED)
+        counts = _class_counts(buf, start)
+        s |= {k: counts[:, c] / per for c, k in enumerate(_CLASS)}
+        lines_n = counts[:, list(_CLASS).index("lines")] + 1
+        stops_n = counts[:, list(_CLASS).index("stops")] + 1
+        a, z, h = _text.all_words(buf, _text.spaced)
         doc = np.repeat(np.arange(n), np.diff(np.searchsorted(a, start)))
         words, distinct, top = _repeats(h, doc, n)
         w = np.maximum(words, 1)
@@ -105,18 +119,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = statistics(batch.column("_text"))
-        rest = batch.drop_columns(["_text"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATS)).cast(pa.list_(pa.float64()))], [*rest.schema.names, "_stats"])
+def _stats(texts: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    for some in texts:
+        yield [pa.FixedSizeListArray.from_arrays(pa.array(statistics(some).ravel()), len(STATS)).cast(pa.list_(pa.float64()))]
 
 
-def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` of docs, and _stats."""
-    slim = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_text").schema)
-    return slim.mapInArrow(_with_stats, f"{fields}, _stats array<double>")
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs with its columns as c0, c1, ... and the statistics of its text as _x0."""
+    return _spark.appended(docs, "text", _stats, [StructField("stats", ArrayType(DoubleType()))])
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -194,6 +204,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         feats = rng.permutation(x.shape[1])[: max(8, x.shape[1] // 2)]
         for leaf, v in _tree(x, bins, edges, p - y, p * (1 - p) + 1e-6, rows, depth, (), rules, feats):
             f[leaf] += 0.3 * v
+    if not rules:
+        return Ensemble(bias, [])
     names = sorted(rules)
     r = np.stack([holds(k, x) for k in names], axis=1).astype(float)
     _, first = np.unique(r, axis=1, return_index=True)  # of rules that hold for the same rows, the first
@@ -222,22 +234,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     share = min(1.0, sample / max(1, own.count()))
     drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    rows = with_statistics(texts.join(drawn, "doc_id"), "doc_id", "quality").select("doc_id", "quality", "_stats").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    named = with_statistics(texts.join(drawn, "doc_id").select("doc_id", "quality", "text")).select(F.col("c0").alias("doc_id"), F.col("c1").alias("quality"), F.col("_x0").alias("stats"))
+    rows = named.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # about `sample` rows
     if not rows.num_rows:
         return fit_rules(np.zeros((0, len(STATS))), np.zeros(0))
-    x = rows["_stats"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS))
+    x = rows["stats"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS))
     return fit_rules(x, rows["quality"].to_numpy())
 
 
 def score(docs: DataFrame, model: Ensemble, *keep: str) -> DataFrame:
     """The columns `keep` of docs, and score."""
-    return with_statistics(docs, *keep).select(*keep, model.column(F.col("_stats")).alias("score"))
+    slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    return with_statistics(slim).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], model.column(F.col("_x0")).alias("score"))
 
 
 def accepted(docs: DataFrame, model: Ensemble, least: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least `least`."""
-    names = docs.columns
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
-    keep = [f"c{i}" for i in range(len(names))]
-    kept = with_statistics(slim, *keep).where(model.column(F.col("_stats")) >= least)
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    kept = with_statistics(docs).where(model.column(F.col("_x0")) >= least)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text, _tokens
+from . import _spark, _text, _tokens
 
 LEAVES = 64  # leaves in a bottom node
 CONTEXT = 3  # bytes before a place that decide whether text may be cut there
@@ -183,7 +183,7 @@ def _built(file: str):
 def build(docs: DataFrame, file: str) -> DataFrame:
     """docs with _sizes and _counts, the leaves of each text's tree; they can be stored with the texts."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_built(file), f"{schema}, _sizes array<int>, _counts array<int>")
+    return docs.mapInArrow(_spark.bounded(_built(file)), f"{schema}, _sizes array<int>, _counts array<int>")
 
 
 def _edited(file: str, texts: bool):
@@ -223,4 +223,4 @@ def apply(trees: DataFrame, file: str, texts: bool = True) -> DataFrame:
     rest = trees.drop("text", "_sizes", "_counts", "edits")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     schema += ", n_before long, n_after long, bytes_encoded long, bytes_after long" + ", text string, _sizes array<int>, _counts array<int>" * texts
-    return trees.withColumn("edits", F.col("edits").cast(EDIT)).mapInArrow(_edited(file, texts), schema)
+    return trees.withColumn("edits", F.col("edits").cast(EDIT)).mapInArrow(_spark.bounded(_edited(file, texts)), schema)

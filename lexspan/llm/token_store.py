@@ -128,7 +128,7 @@ def write(docs: DataFrame, file: str, folder: str, end_id: int | None = None, bi
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, slim.rdd.getNumPartitions())
     dealt = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = sorted(dealt.mapInArrow(_writer(file, end_id, bits, folder), "part int, k int, path string, n_docs long, n_ids long").collect())
+    rows = sorted(dealt.mapInArrow(_spark.bounded(_writer(file, end_id, bits, folder)), "part int, k int, path string, n_docs long, n_ids long").collect())
     out, start = [], 0
     for r in rows:
         out.append({"path": r["path"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": start})
@@ -155,4 +155,4 @@ def digests(spark, files: list[dict]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
     rows = spark.sparkContext.parallelize([(x["path"], x["start"]) for x in files], len(files))
-    return spark.createDataFrame(rows, "path string, start long").mapInArrow(_reader, schema)
+    return spark.createDataFrame(rows, "path string, start long").mapInArrow(_spark.bounded(_reader), schema)

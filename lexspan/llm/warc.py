@@ -208,7 +208,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> list[dict]:
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("_key", F.sha2(F.col("html").cast("binary"), 256))
     firsts = slim.where(F.octet_length("html") >= least).groupBy("_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").select("_key", "first_id")
     rows = slim.join(firsts, "_key", "left").select("page_id", "url", "html", "first_id", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("refers"))
-    return [r.asDict() for r in sorted(rows.mapInArrow(_writer(folder), "path string, n_records long, n_bytes long").collect())]
+    return [r.asDict() for r in sorted(rows.mapInArrow(_spark.bounded(_writer(folder)), "path string, n_records long, n_bytes long").collect())]
 
 
 _READ = "path string, at long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, gap_bytes long, gap_why string, payload string"

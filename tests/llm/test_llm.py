@@ -35,10 +35,10 @@ def test_against_sql(spark, duck, data, name):
 def test_word_kernel_is_the_regex():
     texts = [*ODD, "Hello, wörld_2 -- ok", "tail ", "\x0b\x0ca\x1cb"]
     buf, start = _text.join(pa.array(texts, pa.string()))
-    for inside, pattern in ((_text.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (_text.SPACED, r"[^\x20\x09-\x0D]+")):
+    for inside, pattern in ((_text.alnum, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (_text.spaced, r"[^\x20\x09-\x0D]+")):
         a, z, h = _text.all_words(buf, inside)
         first = np.searchsorted(a, start)
-        got = [[_text.LOWER[buf[x:y]].tobytes().decode() for x, y in zip(a[p:q], z[p:q], strict=True)] for p, q in zip(first[:-1], first[1:], strict=True)]
+        got = [[_text.lower(buf[x:y]).tobytes().decode() for x, y in zip(a[p:q], z[p:q], strict=True)] for p, q in zip(first[:-1], first[1:], strict=True)]
         assert got == [re.findall(pattern, lower(t)) for t in texts]
         small = [np.concatenate(x) for x in zip(*_text.words(buf, inside, 64), strict=True)]
         assert (small[2] == h).all() and (small[0] == a).all()
@@ -403,9 +403,45 @@ def test_forward_sums_all_segmentations():
     assert langid.forward(["ab"], pieces, p)[0, 0] == pytest.approx(np.log(ways))
 
 
+def test_long_words_take_the_same_sums():
+    random.seed(8)
+    pieces = langid.Pieces(["▁", "▁a", "a", "b", "c", "ab", "bca", "▁abc", "cc"])
+    p = np.random.default_rng(1).random((10, 3)) / 10
+    words = ["".join(random.choices("abcx", k=k)) for k in (33, 33, 40, 41, 64, 90)]
+    assert np.allclose(langid.scored(words, pieces, p), langid.forward(words, pieces, p))
+    long = langid.scored(["abc" * 3000, "b"], pieces, p)
+    assert np.isfinite(long).all() and (long[0] < -5000).all()  # no underflow, and no cut
+    n = np.array([2.0, 1, 1, 3, 1, 1])
+    one = langid.expect(words, n, pieces, 2)
+    langid.SHORT, before = 1000, langid.SHORT
+    try:
+        assert np.allclose(one, langid.expect(words, n, pieces, 2))
+    finally:
+        langid.SHORT = before
+
+
 # --- the pipeline
 
 
+def test_pipeline_stages_with_odd_rows(spark, data, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, columns named like the operators' own, and no rows at all."""
+    import corpus_pipeline as c
+
+    at = spark.read.parquet(f"{data}/documents.parquet")
+    odd = [(None, t, None, None, None) for t in (None, "", "one word", "x" * 300_000, "a b c " * 30_000)] + [(10**9 + i // 2, t, "en", "s", 1) for i, t in enumerate(["", "", "the same row " * 20, "the same row " * 20])]
+    docs_ = at.limit(150).unionByName(spark.createDataFrame(odd, at.schema)).withColumns({k: F.lit(1) for k in ("c0", "_x0", "_cast", "_text", "_spans", "_first", "row", "score", "n", "component_id")})
+    for rows in (docs_, docs_.limit(0)):
+        seen = _spark.written(rows, "odd")
+        for name, stage in c.STAGES:
+            out = _spark.written(stage(spark, seen, data), name)
+            if name != "packing":
+                assert out.columns == rows.columns and out.exceptAll(seen).isEmpty(), name
+            else:
+                assert out.select("doc_id").distinct().exceptAll(seen.select("doc_id").distinct()).isEmpty()
+                assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+            seen = out
+
+
 def test_pipeline_against_a_plain_version(spark, data):
     import corpus_pipeline as c
 
