@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -20,25 +26,81 @@ def eligible(cards: DataFrame, usage: str = "retrieval", allow_sensitive: bool =
 
 
 def bounded_catalog(cards: DataFrame, most: int = CATALOG_CARDS) -> DataFrame:
-    """The catalog, marked for broadcast once its size is known to be within the limit."""
+    """The catalog, once its size is known to be within the limit."""
     if cards.limit(most + 1).count() > most:
         raise ValueError(f"the catalog has over {most} cards")
-    return F.broadcast(cards)
+    return cards
 
 
 def contains_term(query: Column, term: Column) -> Column:
     return (term != "") & F.contains(query, term)
 
 
+#: Cards and queries whose grams meet in one matrix.
+CARD_BLOCK, QUERY_BLOCK = 512, 1024
+
+
+class _Catalog:
+    """The catalog's terms and grams. A block's grams have numbers of their own; a column of its matrix is a question or a description."""
+
+    def __init__(self, rows: list[dict]):
+        self.ids = np.array([r["version_id"] for r in rows])
+        self.terms = [r["terms"] or [] for r in rows]
+        self.blocks = [self._block(rows[i : i + CARD_BLOCK]) for i in range(0, len(rows), CARD_BLOCK)]
+
+    @staticmethod
+    def _block(rows: list[dict]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets = [(i, g or []) for i, r in enumerate(rows) for g in r["question_grams"] or []]
+        first = np.searchsorted([i for i, _ in sets], np.arange(len(rows) + 1))
+        sets += [(i, r["description_grams"] or []) for i, r in enumerate(rows)]
+        names = sorted({x for _, g in sets for x in g})
+        number = {x: k for k, x in enumerate(names)}
+        gram = np.array([number[x] for _, g in sets for x in g], np.int64)
+        size = np.array([len(g) for _, g in sets], np.int64)
+        return pa.array(names, pa.string()), gram, np.repeat(np.arange(len(sets)), size), size, first
+
+    def direct(self, q: str) -> np.ndarray:
+        hit = np.array([sum(t in q for t in own) for own in self.terms], float)
+        return np.where(hit > 0, 0.9 + 0.1 * hit / np.maximum([len(t) for t in self.terms], 1), 0.0)
+
+    def likeness(self, grams: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(best question's, description's) Jaccard similarity: queries x cards."""
+        size = grams.value_lengths().fill_null(0).to_numpy()
+        row, flat = np.repeat(np.arange(len(grams)), size), grams.flatten()
+        question, described = [], []
+        for names, gram, column, n, first in self.blocks:
+            m = np.zeros((len(names), len(n)), np.float32)
+            m[gram, column] = 1
+            q = np.zeros((len(grams), len(names)), np.float32)
+            at = pc.index_in(flat, names)
+            known = np.asarray(at.is_valid())
+            q[row[known], at.drop_null().to_numpy()] = 1
+            both = (q @ m).astype(float)  # whole numbers far below 2**24
+            like = np.divide(both, size[:, None] + n[None, :] - both, out=np.zeros_like(both), where=both > 0)
+            k = len(first) - 1
+            best = np.zeros((len(grams), k))
+            own = np.flatnonzero(np.diff(first))
+            if len(own):
+                best[:, own] = np.maximum.reduceat(like[:, : first[-1]], first[own], axis=1)
+            question.append(best)
+            described.append(like[:, first[-1] :])
+        return np.concatenate(question, axis=1), np.concatenate(described, axis=1)
+
+
+SIGNALS = ("none", "description", "question", "declared_term")
+
+
 def lexical_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
     """query_id, version_id, score, signal for each query and card.
 
     queries: query_id, text; cards: version_id, keywords, questions, description. Texts are normalised
     first, and their bigrams are made once for each query and card. A declared term in the query scores
     0.9 and up; otherwise the likest question, or half the description's likeness, counts; of equal
-    signals the first declared stays.
+    signals the first declared stays. The catalog is refused above its limit and sent to all tasks; a
+    block of queries meets a block of cards in one product of their gram matrices. A null query text
+    scores 0 with every card.
     """
-    c = bounded_catalog(
+    few = bounded_catalog(
         cards.select(
             "version_id",
             F.filter(F.transform("keywords", T.query_text_native), lambda k: k != "").alias("terms"),
@@ -46,16 +108,33 @@ def lexical_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
             T.bigrams(T.query_text_native(F.col("description"))).alias("description_grams"),
         )
     )
+    kinds = StructType([queries.schema["query_id"], cards.schema["version_id"], StructField("score", DoubleType()), StructField("signal", StringType())])
+    rows = [r.asDict() for r in few.collect()]  # CATALOG_CARDS at most
+    if not rows:
+        return queries.sparkSession.createDataFrame([], kinds)
+    shared = queries.sparkSession.sparkContext.broadcast(rows)
+    version = pa.array([r["version_id"] for r in rows])
+    signals = pa.array(SIGNALS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        catalog = _Catalog(shared.value)
+        k = len(catalog.ids)
+        for batch in batches:
+            for i in range(0, batch.num_rows, QUERY_BLOCK):
+                some = batch.slice(i, QUERY_BLOCK)
+                n = some.num_rows
+                direct = np.stack([catalog.direct(x or "") for x in some.column("q").to_pylist()])
+                question, described = catalog.likeness(some.column("grams"))
+                described *= 0.5
+                score = np.clip(np.maximum(direct, np.maximum(question, described)), 0, 1)
+                kind = np.select([direct > 0, (question > 0) & (question >= described), described > 0], [3, 2, 1], 0)
+                yield pa.record_batch(
+                    [some.column("query_id").take(pa.array(np.repeat(np.arange(n), k))), version.take(pa.array(np.tile(np.arange(k), n))), pa.array(score.ravel()), signals.take(pa.array(kind.ravel()))],
+                    ["query_id", "version_id", "score", "signal"],
+                )
+
     q = queries.select("query_id", T.query_text_native(F.col("text")).alias("q"))
-    q = q.withColumn("grams", T.bigrams(F.col("q")))
-    pairs = q.join(c, F.lit(True))
-    matched = F.size(F.filter("terms", lambda k: F.contains(F.col("q"), k)))
-    direct = F.when(matched > 0, 0.9 + 0.1 * matched / F.size("terms")).otherwise(0.0)
-    question = F.coalesce(F.array_max(F.transform("question_grams", lambda g: T.set_jaccard(F.col("grams"), g))), F.lit(0.0))
-    described = 0.5 * T.set_jaccard(F.col("grams"), F.col("description_grams"))
-    scored = pairs.select("query_id", "version_id", direct.alias("direct"), question.alias("question"), described.alias("described"))
-    signal = F.when(F.col("direct") > 0, "declared_term").when((F.col("question") > 0) & (F.col("question") >= F.col("described")), "question").when(F.col("described") > 0, "description").otherwise("none")
-    return scored.select("query_id", "version_id", T.clamp(F.greatest("direct", "question", "described")).alias("score"), signal.alias("signal"))
+    return q.withColumn("grams", T.bigrams(F.col("q"))).mapInArrow(run, kinds)
 
 
 def verdict(score: Column, admit: float = ADMIT, reject: float = REJECT) -> Column:
@@ -70,10 +149,15 @@ def judged(scores: DataFrame, admit: float = ADMIT, reject: float = REJECT) -> D
     return scores.withColumn("position", F.row_number().over(w)).withColumn("verdict", verdict(F.col("score"), admit, reject))
 
 
+def best(scores: DataFrame, by: str, top: int = TOP) -> DataFrame:
+    """(query_id, version_id) of the highest scores of each query."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "version_id"))
+    return scores.withColumn("_r", place).where(F.col("_r") <= top).select("query_id", "version_id")
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame, top: int = TOP) -> DataFrame:
     """lexical (query_id, version_id, score) with cosine (of semantic) for the union of both top lists, and the combined score."""
-    best = lambda df, c: df.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "version_id"))).where(F.col("_r") <= top).select("query_id", "version_id")
-    union = best(lexical, "score").unionByName(best(semantic, "cosine")).distinct().join(semantic, ["query_id", "version_id"])
+    union = best(lexical, "score", top).unionByName(best(semantic, "cosine", top)).distinct().join(semantic, ["query_id", "version_id"])
     out = lexical.join(union, ["query_id", "version_id"], "left")
     return out.select("query_id", "version_id", F.col("score").alias("lexical"), "cosine", T.hybrid_score(F.col("score"), T.semantic_score(F.coalesce("cosine", F.lit(0.0)))).alias("score"))
 

@@ -110,18 +110,26 @@ def p2_p3_policy_eligible(spark, d):
     return selection.eligible(cards(spark, d)).select("version_id")
 
 
-@query(f"""WITH v AS ({E}), lexical AS (SELECT q.vec_id AS query_id, c.vec_id AS version_id, ((q.vec_id * 7 + c.vec_id * 13) % 101) / 101.0 AS score, {COS} AS cosine FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.label = c.label),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, version_id) AS b FROM lexical),
-f AS (SELECT *, CASE WHEN (a <= 32 OR b <= 32) AND cosine >= 0.75 THEN least((cosine - 0.75) / 0.25, 1.0) ELSE 0.0 END AS sem, CASE WHEN a <= 32 OR b <= 32 THEN cosine END AS c FROM top)
-SELECT query_id, version_id, round(score, 9) AS lexical, c AS cosine, round(least(greatest(score, sem) + 0.1 * least(score, sem), 1.0), 6) AS score FROM f""")
+@query(f"""WITH {LEXICAL}, v AS ({E}), r AS (SELECT l.query_id, l.version_id, round(l.score, 9) AS score, round(list_cosine_similarity(q.e, c.e), 12) AS cosine
+  FROM lexical l LEFT JOIN v q ON q.vec_id = l.query_id // 1000 LEFT JOIN v c ON c.vec_id = l.version_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS a, CASE WHEN cosine IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC NULLS LAST, version_id) END AS b FROM r),
+f AS (SELECT *, CASE WHEN a <= 32 OR b <= 32 THEN cosine END AS c, CASE WHEN (a <= 32 OR b <= 32) AND cosine >= 0.75 THEN least((cosine - 0.75) / 0.25, 1.0) ELSE 0.0 END AS sem FROM top)
+SELECT query_id, version_id, score AS lexical, round(c, 9) AS cosine, round(least(greatest(score, sem) + 0.1 * least(score, sem), 1.0), 6) AS score FROM f""")
 def q3_jn15_u1_hybrid(spark, d):
-    v = vectors(spark, d).select(F.col("id").alias("version_id"), F.col("embedding").cast("array<double>").alias("e"), "scope")
-    q = v.where("version_id % 20 = 0").select(F.col("version_id").alias("query_id"), F.col("e").alias("qe"), "scope")
+    """Lexical scores of all turns with the cosines of the conversation's and the card's vectors, where both have one, for the union of both top lists."""
     from ..functions import vectors as V
 
-    s = q.join(v, "scope").select("query_id", "version_id", ((F.col("query_id") * 7 + F.col("version_id") * 13) % 101 / 101.0).alias("score"), F.round(V.cosine(F.col("qe"), F.col("e")), 9).alias("cosine"))
-    h = selection.hybrid(s.select("query_id", "version_id", "score"), s.select("query_id", "version_id", "cosine"))
-    return h.select("query_id", "version_id", F.round("lexical", 9).alias("lexical"), "cosine", F.round("score", 6).alias("score"))
+    lexical = q1_q2_lexical_scores(spark, d).drop("signal")
+    v = vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("e"))
+    asked_by = lexical.select("query_id").distinct().withColumn("id", F.floor(F.col("query_id") / 1000).cast("long"))
+    own = asked_by.join(v, "id").select("query_id", F.col("e").alias("qe"))
+    few = selection.bounded_catalog(v.join(cards(spark, d).select(F.col("version_id").alias("id")), "id"))
+    nearest = search.top_k(few.select("id", F.lit(0).alias("scope"), F.col("e").alias("embedding")), own.select("query_id", F.lit(0).alias("scope"), F.col("qe").alias("embedding")), selection.TOP)
+    nearest = nearest.select("query_id", F.col("id").alias("version_id"), F.col("score").alias("cosine"))
+    listed = selection.best(lexical, "score").join(nearest, ["query_id", "version_id"], "left_anti")
+    listed = listed.join(own, "query_id").join(few.select(F.col("id").alias("version_id"), "e"), "version_id").select("query_id", "version_id", F.round(V.cosine(F.col("qe"), F.col("e")), 12).alias("cosine"))
+    h = selection.hybrid(lexical, nearest.unionByName(listed))
+    return h.select("query_id", "version_id", F.round("lexical", 9).alias("lexical"), F.round("cosine", 9).alias("cosine"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {LEXICAL}, a AS (SELECT query_id, version_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, version_id) AS position, round(score, 9) AS score FROM lexical)
@@ -136,16 +144,18 @@ def q6_u2_u3_plan(spark, d):
 CANDIDATES = f"""v AS ({E}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS revision, q.label = c.label AS same, round(list_cosine_similarity(q.e, c.e), 12) AS s FROM v q JOIN v c ON q.vec_id % 20 = 0),
 one AS (SELECT query_id, revision, 1 AS target, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, revision) AS rank FROM s WHERE same QUALIFY rank <= 8),
 two AS (SELECT query_id, revision, 2 AS target, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, revision) AS rank FROM s QUALIFY rank <= 8),
-candidates AS (SELECT o.*, sha256(d.text) AS digest, length(d.text) AS units FROM (SELECT * FROM one UNION ALL SELECT * FROM two) o JOIN documents d ON d.doc_id = o.revision % 150)"""
+candidates AS (SELECT o.*, coalesce(sha256(d.text), 'no document ' || o.revision) AS digest, coalesce(length(d.text), 0) AS units FROM (SELECT * FROM one UNION ALL SELECT * FROM two) o LEFT JOIN documents d ON d.doc_id = o.revision)"""
 FUSED = """fused AS (SELECT query_id, revision, round(sum(1.0 / (60 + rank)), 12) AS score, count(*) AS occurrences, min(rank) AS rank, arg_min(target, rank * 10 + target) AS target, any_value(digest) AS digest, any_value(units) AS units FROM candidates GROUP BY 1, 2)"""
 
 
 def candidates(spark, d):
+    """Hits with the digest and length of their documents; one without a document has a digest of its own and no length."""
     one = search.top_k(vectors(spark, d), asked(spark, d), 8, "cosine", True).withColumn("target", F.lit(1))
     two = search.top_k(vectors(spark, d), asked(spark, d), 8, "cosine", False).withColumn("target", F.lit(2))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").alias("units"))
-    c = one.unionByName(two).withColumn("_d", F.col("id") % 150)
-    return c.join(docs, "_d").select("query_id", "target", F.col("target").alias("item"), "rank", F.col("id").alias("revision"), "digest", "units")
+    c = one.unionByName(two)
+    own = F.coalesce("digest", F.concat(F.lit("no document "), F.col("id").cast("string"))).alias("digest")
+    return c.join(docs, F.col("id") == F.col("_d"), "left").select("query_id", "target", F.col("target").alias("item"), "rank", F.col("id").alias("revision"), own, F.coalesce("units", F.lit(0)).alias("units"))
 
 
 @query(f"WITH {CANDIDATES}, {FUSED} SELECT query_id, revision, round(score, 9) AS score, CAST(occurrences AS INTEGER) AS occurrences, CAST(rank AS INTEGER) AS rank, target FROM fused")
