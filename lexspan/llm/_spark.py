@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..storage import new_folder, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "appended", "bounded", "new_folder", "read_file", "shared_dir", "write_file", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "appended", "bounded", "new_folder", "opened", "read_file", "shared_dir", "write_file", "written"]
 
 #: Of a batch that a pass works on at once; a single longer row is a batch of its own.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
@@ -108,13 +108,17 @@ def write_file(at: str, data: bytes) -> None:
     where.move(part, inner)
 
 
-def read_file(at: str) -> bytes:
+def opened(at: str):
+    """A seekable file to read."""
     local = _local(at)
     if local is not None:
-        with open(local, "rb") as f:
-            return f.read()
+        return open(local, "rb")
     from pyarrow import fs
 
     where, inner = fs.FileSystem.from_uri(at)
-    with where.open_input_stream(inner) as f:
+    return where.open_input_file(inner)
+
+
+def read_file(at: str) -> bytes:
+    with opened(at) as f:
         return f.read()

@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. Records with equal payloads of at least `least` bytes are
 written once: that with the smallest page_id is the response, the others are revisits of it. A damaged
 member or record ends where the next valid gzip member or version line begins; later records are read
-on, and the bytes between are reported as gaps.
+on, and the bytes between are reported as gaps. The reader streams: it holds a window of the file and one
+record at a time, whatever the size of the archive.
 
 Defined results: null html is the empty payload; rows with the smallest page_id of their payload are all
 responses if that page_id repeats; null page_ids sort after all others and refer to, but are never
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _spark
 
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -66,27 +68,78 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers in lower case, block, place after the record)."""
-    data = data if isinstance(data, bytes) else bytes(data)
-    if data[at : at + 7] != b"WARC/1.":
-        raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Damaged("headers do not end")
+class Source:
+    """Bytes of a seekable file by place; a window of it is held."""
+
+    STEP = 1 << 18
+
+    def __init__(self, f):
+        self.f, self.at, self.held = f, 0, b""
+        self.size = f.seek(0, 2) if not hasattr(f, "size") else f.size()
+
+    def read(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.f.seek(at)
+            self.at, self.held = at, self.f.read(max(n, self.STEP))
+        return self.held[at - self.at : at - self.at + n]
+
+    def find(self, what: tuple[bytes, ...], at: int) -> int:
+        """The next place of any of them; the end if there is none."""
+        most = max(map(len, what)) - 1
+        while at < self.size:
+            some = self.read(at, self.STEP)
+            found = [x for w in what if (x := some.find(w)) >= 0]
+            if found:
+                return at + min(found)
+            if at + len(some) >= self.size:
+                break
+            at += len(some) - most
+        return self.size
+
+
+def _headers(data: bytes) -> dict[str, str]:
     head: dict[str, str] = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in data.split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Damaged("a header without a colon")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    size = head.get("content-length", "")
-    if not size.isdigit():
+    if not head.get("content-length", "").isdigit():
         raise Damaged("no length")
-    a, z = end + 4, end + 4 + int(size)
-    if data[z : z + 4] != b"\r\n\r\n":
+    return head
+
+
+#: Of a record's headers.
+MOST_HEADERS = 1 << 20
+
+
+def parse_record(read, at: int, left: int | None) -> tuple[dict[str, str], bytes, int] | None:
+    """(headers in lower case, block, place after the record) of the record at `at`. read(at, n) gives bytes.
+
+    left: bytes from there to the end; None if more may come: a record that is not whole yet is then None.
+    """
+    if (first := read(at, 7)) != b"WARC/1.":
+        if left is None and b"WARC/1.".startswith(first):
+            return None
+        raise Damaged("no version line")
+    n = 1 << 12
+    while (end := read(at, n).find(b"\r\n\r\n")) < 0:
+        if n >= MOST_HEADERS or (left is not None and n >= left):
+            raise Damaged("headers do not end")
+        if left is None and len(read(at, n)) < n:
+            return None
+        n *= 4
+    head = _headers(read(at, end))
+    a, size = at + end + 4, int(head["content-length"])
+    if left is not None and end + 4 + size + 4 > left:
+        raise Damaged("the block does not end where it should")
+    block = read(a, size + 4)
+    if len(block) < size + 4:
+        return None
+    if block[size:] != b"\r\n\r\n":
         raise Damaged("the block does not end where it should")
-    return head, data[a:z], z + 4
+    return head, block[:size], a + size + 4
 
 
 def check_record(head: dict[str, str], block: bytes) -> bytes:
@@ -98,81 +151,93 @@ def check_record(head: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(data[at:])
-    except zlib.error as e:
-        raise Damaged(str(e)) from None
-    if not z.eof:
-        raise Damaged("a member does not end")
-    return out, len(data) - len(z.unused_data)
+GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
+Found = tuple[dict[str, str], bytes, int]
 
-def salvage(data: bytes) -> tuple[list[tuple[dict[str, str], bytes, int]], list[tuple[int, int, str]]]:
-    """(headers, payload, place) of every record that passes its checks; (first, past, why) of every gap. Plain or gzip."""
-    records: list[tuple[dict[str, str], bytes, int]] = []
-    gaps: list[tuple[int, int, str]] = []
-    raw, at, n = memoryview(data), 0, len(data)
 
-    def plain(text: bytes, place: int, base: int | None) -> str:
-        """Records of one stretch of text; why it ended early, or nothing."""
-        i, why = 0, ""
+def _member(source: Source, at: int) -> Iterator[Found | tuple[int, str]]:
+    """Records of the gzip member at `at` as they are inflated; last (place after it, why some of its text was not read, or nothing).
+
+    A record is given at once if its payload's digest was checked, and others once the member's own check has passed.
+    """
+    z, text, i, why, place = zlib.decompressobj(31), b"", 0, "", at
+    waiting: list[Found] = []
+
+    def whole(last: bool) -> Iterator[Found]:
+        nonlocal i, why
         while i < len(text):
             try:
-                head, block, j = parse_record(text, i)
-                records.append((head, check_record(head, block), place if base is None else base + i))
+                got = parse_record(lambda x, n: text[x : x + n], i, len(text) - i if last else None)
+                if got is None:
+                    return
+                head, block, j = got
+                payload = check_record(head, block)
+                if head.get("warc-type") == "response" and "warc-payload-digest" in head:
+                    yield head, payload, at
+                else:
+                    waiting.append((head, payload, at))
             except Damaged as e:
                 why = str(e)
-                j = text.find(b"WARC/1.", i + 1)
-                j = len(text) if j < 0 else j
-                gaps.append((place, place, why) if base is None else (base + i, base + j, why))
+                j = text.find(VERSION, i + 1)
+                j = (len(text) if last else max(i + 1, len(text) - len(VERSION))) if j < 0 else j
             i = j
-        return why
 
-    def following(i: int) -> int:
-        """The next place that begins a gzip member or a version line."""
-        found = [x for x in (data.find(b"\x1f\x8b\x08", i), data.find(b"WARC/1.", i)) if x >= 0]
-        return min(found, default=n)
-
-    bad, why = -1, ""
-    while at < n:
+    while not z.eof:
+        some = source.read(place, 1 << 16)
+        if not some:
+            raise Damaged("a member does not end")
         try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                # most members are far smaller than the file: look at a growing part of it first
-                size = 1 << 16
-                while True:
-                    try:
-                        text, to = _inflate(raw[at : min(n, at + size)], 0)
-                        break
-                    except Damaged as e:
-                        if str(e) != "a member does not end" or at + size >= n:
-                            raise
-                        size *= 4
-                if bad >= 0:
-                    gaps.append((bad, at, why))
-                    bad = -1
-                k = len(gaps)
-                plain(text, at, None)
-                gaps[k:] = [(at, at + to, w) for _, _, w in gaps[k:]]
-                at += to
-            elif data[at : at + 7] == b"WARC/1.":
-                head, block, to = parse_record(data, at)
-                payload = check_record(head, block)
-                if bad >= 0:
-                    gaps.append((bad, at, why))
-                    bad = -1
-                records.append((head, payload, at))
-                at = to
+            text, i = text[i:] + z.decompress(some), 0
+        except zlib.error as e:
+            raise Damaged(str(e)) from None
+        place += len(some)
+        yield from whole(False)
+    yield from whole(True)
+    yield from waiting
+    yield place - len(z.unused_data), why
+
+
+def salvaged(source: Source) -> Iterator[tuple[str, tuple]]:
+    """("record", (headers, payload, place)) of every record that passes its checks, ("gap", (first, past, why)) of every gap. Plain or gzip; one record is held at a time."""
+    at, bad, bad_why = 0, -1, ""
+    while at < source.size:
+        try:
+            to, why, found = at, "", []
+            if source.read(at, 3) == GZIP:
+                for x in _member(source, at):
+                    if len(x) == 3:
+                        if bad >= 0:
+                            yield "gap", (bad, at, bad_why)
+                            bad = -1
+                        yield "record", x
+                    else:
+                        to, why = x
+            elif source.read(at, 7) == VERSION:
+                head, block, to = parse_record(source.read, at, source.size - at)
+                found = [(head, check_record(head, block), at)]
             else:
                 raise Damaged("neither a member nor a version line")
+            if bad >= 0:
+                yield "gap", (bad, at, bad_why)
+                bad = -1
+            if why:
+                yield "gap", (at, to, why)
+            for x in found:
+                yield "record", x
+            at = to
         except Damaged as e:
             if bad < 0:
-                bad, why = at, str(e)
-            at = following(at + 1)
+                bad, bad_why = at, str(e)
+            at = source.find((GZIP, VERSION), at + 1)
     if bad >= 0:
-        gaps.append((bad, n, why))
-    return records, gaps
+        yield "gap", (bad, source.size, bad_why)
+
+
+def salvage(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
+    """All records and all gaps of an archive in memory."""
+    got = list(salvaged(Source(io.BytesIO(data))))
+    return [x for kind, x in got if kind == "record"], [x for kind, x in got if kind == "gap"]
 
 
 def _writer(folder: str):
@@ -206,8 +271,12 @@ def _writer(folder: str):
 def write(pages: DataFrame, folder: str, least: int = 0) -> list[dict]:
     """Archives of all pages in folder; a row (path, n_records, n_bytes) for each file."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("_key", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = slim.where(F.octet_length("html") >= least).groupBy("_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").select("_key", "first_id")
-    rows = slim.join(firsts, "_key", "left").select("page_id", "url", "html", "first_id", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("refers"))
+    keys = slim.where(F.octet_length("html") >= least).select("_key", "page_id")
+    firsts = keys.groupBy("_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1 AND first_id IS NOT NULL").select("_key", "first_id")
+    # ids alone meet on a payload's key, which many pages may share; texts are dealt by key and id
+    later = keys.distinct().join(firsts, "_key").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("_key").alias("_k"), F.coalesce("page_id", F.lit(0)).alias("_p"), F.col("page_id").isNull().alias("_none"), "first_id")
+    own = (F.col("_key") == F.col("_k")) & (F.coalesce("page_id", F.lit(0)) == F.col("_p")) & (F.col("page_id").isNull() == F.col("_none"))
+    rows = slim.join(later, own, "left").select("page_id", "url", "html", "first_id", F.col("first_id").isNotNull().alias("refers"))
     return [r.asDict() for r in sorted(rows.mapInArrow(_spark.bounded(_writer(folder)), "path string, n_records long, n_bytes long").collect())]
 
 
@@ -219,16 +288,24 @@ def _reader(payloads: bool):
         number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                records, gaps = salvage(_spark.read_file(path))
-                for i in range(0, len(records), 512):
-                    rows = []
-                    for head, payload, at in records[i : i + 512]:
-                        revisit = head.get("warc-type") == "revisit"
-                        digest = head.get("warc-payload-digest", "")
-                        rows.append((path, at, number(head.get("warc-page-id")), head.get("warc-target-uri"), head.get("warc-type"), number(head.get("warc-payload-length")) if revisit else len(payload), digest[5:] if revisit else payload_digest(payload), number(head.get("warc-refers-to-page-id")), None, None, payload.decode("utf-8", "replace") if payloads and not revisit else None))
+                rows, size = [], 0
+                with _spark.opened(path) as f:
+                    for kind, x in salvaged(Source(f)):
+                        if kind == "gap":
+                            a, z, why = x
+                            rows.append((path, a, None, None, None, None, None, None, z - a, why, None))
+                        else:
+                            head, payload, at = x
+                            revisit = head.get("warc-type") == "revisit"
+                            digest = head.get("warc-payload-digest", "")
+                            text = payload.decode("utf-8", "replace") if payloads and not revisit else None
+                            size += len(text or "")
+                            rows.append((path, at, number(head.get("warc-page-id")), head.get("warc-target-uri"), head.get("warc-type"), number(head.get("warc-payload-length")) if revisit else len(payload), digest[5:] if revisit else payload_digest(payload), number(head.get("warc-refers-to-page-id")), None, None, text))
+                        if len(rows) >= 512 or size >= _spark.BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                if rows:
                     yield _batch(rows)
-                if gaps:
-                    yield _batch([(path, a, None, None, None, None, None, None, z - a, why, None) for a, z, why in gaps])
 
     return run
 
@@ -243,7 +320,7 @@ def read(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFr
     if not paths:
         return spark.createDataFrame([], _READ)
     rows = spark.sparkContext.parallelize([(x,) for x in paths], len(paths))
-    return spark.createDataFrame(rows, "path string").mapInArrow(_reader(payloads), _READ)
+    return spark.createDataFrame(rows, "path string").mapInArrow(_spark.bounded(_reader(payloads)), _READ)
 
 
 def records(archive: DataFrame) -> DataFrame:

@@ -162,6 +162,22 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.where("vec_id < 3"), lambda i: i % 50 == 0).count() == 2
 
 
+def test_topk_prunes_blocks_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = np.repeat(centres, 100, axis=0) + 0.05 * rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    seen = topk.Report()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, lambda i: i % 50 == 0, report=seen).collect()}
+    v = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 4000, 50):
+        s = v @ v[q]
+        order = [i for i in np.lexsort((np.arange(4000), -s)).tolist() if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, s[i]) for i in order]
+    assert seen.pruned > 0.5
+
+
 # --- 4 token files
 
 
@@ -375,6 +391,29 @@ def test_salvage():
     assert len(records) == 5 and gaps[0][:2] == (0, 4)
 
 
+def test_archives_are_read_as_streams(monkeypatch):
+    """Records that span windows, members of many records, damage at every kind of place; the window is a few bytes."""
+    monkeypatch.setattr(warc.Source, "STEP", 64)
+    rec = [warc.record("response" if i % 3 else "revisit", i, f"http://a/{i}", bytes([65 + i % 26]) * (i * 37), refers_to=0) for i in range(30)]
+    for data in (b"".join(rec), b"".join(map(warc.member, rec)), warc.member(b"".join(rec)), warc.member(b"".join(rec[:10])) + b"".join(rec[10:20]) + warc.member(b"".join(rec[20:]))):
+        records, gaps = warc.salvage(data)
+        assert sorted(int(h["warc-page-id"]) for h, _, _ in records) == list(range(30)) and not gaps
+    members = [warc.member(r) for r in rec]
+    at = np.cumsum([0, *map(len, members)]).tolist()
+    bad = bytearray(b"".join(members))
+    bad[at[7] + 12] ^= 255
+    bad[at[20]] = 0
+    records, gaps = warc.salvage(bytes(bad))
+    assert [int(h["warc-page-id"]) for h, _, _ in records] == [i for i in range(30) if i not in (7, 20)]
+    assert [(a, z) for a, z, _ in gaps] == [(at[7], at[8]), (at[20], at[21])]
+    records, gaps = warc.salvage(bytes(bad[: at[29] + 9]))
+    assert len(records) == 27 and gaps[-1][:2] == (at[29], at[29] + 9)
+    inside = bytearray(b"".join(rec))
+    inside[inside.index(b"WARC-Payload-Digest", sum(map(len, rec[:10]))) + 30] ^= 1
+    records, gaps = warc.salvage(warc.member(bytes(inside)))
+    assert 10 not in {int(h["warc-page-id"]) for h, _, _ in records} and len(records) == 29 and len(gaps) == 1
+
+
 # --- 10 language
 
 
