@@ -317,6 +317,17 @@ def test_packing(spark, data):
     assert packing.pack(docs(spark, []), file).count() == 0
 
 
+def test_groups_trade_what_they_leave_empty(spark):
+    rng = np.random.default_rng(2)
+    df = docs(spark, ["a " * int(n) for n in rng.integers(20, 900, 800)])
+    apart, traded = (packing.pack(df, _tokens.path("byte_bpe_50k.json"), group=100, trades=k).toPandas() for k in (0, 3))
+    least = -(-int(apart.length.sum()) // 2048)
+    n, m = apart.sequence_id.nunique(), traded.sequence_id.nunique()
+    assert m <= least + 1 and m < n
+    full = traded.groupby("sequence_id").agg(n=("length", "sum"), last=("offset", "max"))
+    assert (full.n <= 2048).all() and len(traded) == len(apart) and traded.doc_id.is_unique
+
+
 def test_genetic_steps():
     rng = np.random.default_rng(4)
     size = rng.integers(1, 101, 400)
