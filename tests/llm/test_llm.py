@@ -140,6 +140,47 @@ def test_license_scan(spark):
     assert [(x.license, x.share < 1) for x in hit] == [("GPL-3.0-header", True)]
 
 
+def _word_hashes(texts):
+    buf, start = _text.join(pa.array(texts, pa.string()))
+    a, _, h = _text.all_words(buf, _text.alnum)
+    first = np.searchsorted(a, start)
+    return h, first[:-1], np.diff(first)
+
+
+def test_license_windows_against_full_containment():
+    """Edited templates amid other text: every template of which 0.8 is there is found, whatever stands around the text."""
+    random.seed(12)
+    filler = lambda n: ["".join(random.choices("abcdefgh", k=5)) for _ in range(n)]
+    texts = []
+    for name in sorted(license_scan.TEMPLATES) * 8:
+        words = license_scan.TEMPLATES[name].split()
+        for i in random.sample(range(len(words)), random.randint(0, len(words) // 40)):
+            words[i] = random.choice(["", "changed", words[i] + " indeed"])
+        texts.append(" ".join([*filler(random.choice([0, 0, 5, 200])), *words, *filler(random.choice([0, 0, 5, 200]))]))
+    index = license_scan.Index(license_scan.TEMPLATES)
+    got = {(d, name) for d, name, share, *_ in index.find(*_word_hashes(texts)) if share >= 0.8}
+    want = set()
+    for d, t in enumerate(texts):
+        h, _, _ = _word_hashes([t])
+        for (k, _), own in index.groups.items():
+            held = _text.window_hashes(h, k)
+            want |= {(d, name) for name, s in own if np.isin(s, held).mean() >= 0.8}
+    assert got <= want and len(got) >= 0.99 * len(want) > 200
+    alone = {(d, name) for d, t in enumerate(texts) for _, name, share, *_ in index.find(*_word_hashes([t])) if share >= 0.8}
+    assert alone == got
+
+
+def test_license_scan_with_odd_rows(spark, tmp_path):
+    text = license_scan.TEMPLATES["MIT"]
+    (tmp_path / "House").write_text("one two three four five six seven eight nine ten")
+    df = spark.createDataFrame([(1, text, 5), (1, text, 5), (None, None, None), (2, "", 0), (3, "x " * 200_000 + text, 1)], "doc_id long, text string, licenses_ long")
+    got = license_scan.scan(df, "doc_id", "licenses_").collect()
+    assert [[x.license for x in r.licenses] for r in sorted(got, key=lambda r: r.doc_id or 0)] == [[], ["MIT"], ["MIT"], [], ["MIT"]]
+    assert license_scan.scan(df.limit(0), "doc_id").count() == 0
+    own = license_scan.scan(docs(spark, ["see one two three four five six seven eight nine ten"]), "doc_id", templates=license_scan.templates_in(str(tmp_path))).first()
+    assert [x.license for x in own.licenses] == ["House"]
+
+
 # --- 3 top-k
 
 
