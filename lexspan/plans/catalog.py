@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cards, documents, govern, more, select, streams, text
+from . import cards, documents, govern, more, select, state, streams, text
 
-_MODULES = (text, select, govern, documents, cards, more, streams)
+_MODULES = (text, select, govern, documents, cards, more, state, streams)
 FLAGSHIP = "hybrid_context"
 
 
