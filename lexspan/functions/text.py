@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -133,47 +134,56 @@ def line_parts(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit("[^\n]*\n|[^\n]+"), F.lit(0)), lambda x: x != "")
 
 
+@lru_cache(1 << 16)
+def _weight(ch: str) -> int:
+    """1 for a character of a run, 2 for a visible one that stands alone, 0 for others."""
+    cat = unicodedata.category(ch)
+    if ch in "\u00aa\u00ba" or cat[0] == "N" or (cat[0] == "L" and "LATIN" in unicodedata.name(ch, "")):
+        return 1
+    return 0 if ch.isspace() or cat == "Cc" else 2
+
+
 def estimate(s: str) -> int:
     """token_estimate of one Python string."""
     total, run = 0, 0
-    for ch in s:
-        if ch.isascii():
-            plain = ch.isalnum()
-        else:
-            cat = unicodedata.category(ch)
-            plain = cat[0] == "N" or (cat[0] in "LS" and "LATIN" in unicodedata.name(ch, "") and cat[0] == "L") or ch in "\u00aa\u00ba"
-        if plain:
+    for w in map(_weight, s):
+        if w == 1:
             run += 1
-            continue
-        total, run = total + -(-run // 4), 0
-        if not (ch.isspace() or unicodedata.category(ch) == "Cc"):
-            total += 1
-    return total + -(-run // 4)
+        else:
+            total, run = total - (-run // 4) + (w == 2), 0
+    return total - (-run // 4)
 
 
 def windows(s: str, target: int, most: int) -> list[tuple[int, int]]:
-    """Consecutive (start, end): each the longest prefix within target tokens, else within most, else one character."""
+    """Consecutive (start, end): each the longest prefix within target tokens, else within most, else one character. One pass: a prefix's estimate never falls."""
     out, at, n = [], 0, len(s)
+    weights = list(map(_weight, s))
     while at < n:
-        for limit in (target, most):
-            lo, hi = at, n
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if estimate(s[at:mid]) <= limit else (lo, mid - 1)
-            if lo > at:
+        total, run, ends = 0, 0, [at, at]
+        for i in range(at, n):
+            if weights[i] == 1:
+                run += 1
+            else:
+                total, run = total - (-run // 4) + (weights[i] == 2), 0
+            now = total - (-run // 4)
+            if now <= target:
+                ends[0] = i + 1
+            if now <= most:
+                ends[1] = i + 1
+            if now > target and (ends[0] > at or now > most):
                 break
-        lo = max(lo, at + 1)
-        out.append((at, lo))
-        at = lo
+        end = ends[0] if ends[0] > at else max(ends[1], at + 1)
+        out.append((at, end))
+        at = end
     return out
 
 
 def token_windows(c: Column, target: int = 320, most: int = 480) -> Column:
     kind = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
-    @F.udf(kind, useArrow=True)
-    def run(s):
-        return [] if s is None else windows(s, target, most)
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else [{"start": a, "end": z} for a, z in windows(x, target, most)])
 
     return run(c)
 

@@ -90,6 +90,30 @@ def replacements(previous: DataFrame, current: DataFrame, anchors: DataFrame) ->
     return between(previous, "previous").join(between(current, "current"), ["doc_id", "gap", "kind"]).select("doc_id", F.col("_previous").alias("previous"), F.col("_current").alias("current"))
 
 
+def anchored_headings(previous: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_id, previous, current) of unmatched headings that inherit through their content.
+
+    A heading's anchor is the first matched block of its section that is no heading; the heading before that
+    block's old place, unmatched and of the same level, is proposed; one that several claim goes to none.
+    Both: doc_id, ord, kind, level; matches: doc_id, previous, current.
+    """
+    levels = range(1, 7)
+    head = F.col("kind") == "heading"
+    m = matches.select("doc_id", F.col("current").alias("ord"), F.col("previous").alias("was"))
+    after = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    c = current.join(m, ["doc_id", "ord"], "left").withColumn("anchor", F.first(F.when(~head & F.col("was").isNotNull(), F.struct("ord", "was")), ignorenulls=True).over(after))
+    ends = F.array(*[F.first(F.when(head & (F.col("level") <= k), F.col("ord")), ignorenulls=True).over(after) for k in levels])
+    c = c.withColumn("end", F.get(ends, F.col("level").cast("int") - 1)).where(head & F.col("was").isNull())
+    open_ = c.where(F.col("anchor").isNotNull() & (F.col("end").isNull() | (F.col("anchor.ord") < F.col("end")))).select("doc_id", F.col("ord").alias("current"), "level", F.col("anchor.was").alias("ord"))
+    taken = matches.select("doc_id", F.col("previous").alias("ord"), F.lit(True).alias("used"))
+    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    free = previous.join(taken, ["doc_id", "ord"], "left")
+    nearest = F.array(*[F.last(F.when(head & (F.col("level") == k) & F.col("used").isNull(), F.col("ord")), ignorenulls=True).over(before) for k in levels])
+    proposed = open_.join(free.select("doc_id", "ord", nearest.alias("nearest")), ["doc_id", "ord"]).select("doc_id", "current", F.get("nearest", F.col("level").cast("int") - 1).alias("previous")).where("previous IS NOT NULL")
+    once = proposed.groupBy("doc_id", "previous").agg(F.count("*").alias("n"), F.min("current").alias("current")).where("n = 1")
+    return once.select("doc_id", "previous", "current")
+
+
 def match_blocks(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(doc_id, previous, current, how) of blocks that keep their identity: exact in place, exact, in sequence, likely, replaced.
 

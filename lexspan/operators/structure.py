@@ -10,16 +10,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..storage import written
 
 #: Fixed values of the segmentation, chunk and keyword policies.
 SEGMENT = {"least": 120, "target": 600, "most": 1200, "window": 3, "mad": 1.0, "flat_depth": 0.35, "sparse_words": 8, "least_gaps": 3}
-CHUNK = {"target": 320, "most": 480, "overlap": 48}
+CHUNK = {"target": 320, "most": 480, "overlap": 48, "header": 48}
 KEYWORDS, KEYWORD_UNITS = 32, 64
 KEYWORD_KINDS = ("paragraph", "list_item", "table", "quote")
 
@@ -137,10 +139,8 @@ def lexical_gaps(texts: list[str], policy: dict = SEGMENT, counted: set[int] | N
             grams = lambda s: [s[k : k + 3] for k in range(max(1, len(s) - 2))] if s else []
             a, b = grams("".join(left.lower().split())), grams("".join(right.lower().split()))
         sims.append(_cosine(Counter(a), Counter(b)))
-    out = []
-    for k, s in enumerate(sims):
-        out.append((at[k], s, (max(sims[: k + 1]) + max(sims[k:]) - 2 * s) / 2))
-    return out
+    before, after = list(accumulate(sims, max)), list(accumulate(reversed(sims), max))[::-1]
+    return [(i, s, (x + y - 2 * s) / 2) for i, s, x, y in zip(at, sims, before, after, strict=True)]
 
 
 def lexical_boundaries(texts: list[str], tokens: list[int], policy: dict = SEGMENT, prose: list[bool] | None = None) -> list[int]:
@@ -157,9 +157,9 @@ def lexical_boundaries(texts: list[str], tokens: list[int], policy: dict = SEGME
     mid = median(depths)
     mad = median([abs(x - mid) for x in depths])
     least = mid + policy["mad"] * mad if mad > 0 else policy["flat_depth"]
-    out, last = [], 0
+    out, last, upto = [], 0, [0, *accumulate(tokens)]
     for at, depth in gaps:
-        if depth >= least and sum(tokens[last:at]) >= policy["least"] and sum(tokens[at:]) >= policy["least"]:
+        if depth >= least and upto[at] - upto[last] >= policy["least"] and upto[-1] - upto[at] >= policy["least"]:
             out.append(at)
             last = at
     return out
@@ -205,9 +205,16 @@ def units(blocks: list[dict], policy: dict = SEGMENT) -> list[dict]:
     return out
 
 
+def _header(block: dict, policy: dict) -> tuple[int, int]:
+    """(end, tokens) of the first row of a table that is short enough to stand over each of its parts; zeros if there is none."""
+    end = block["text"].find("\n") + 1 if block["kind"] == "table" else 0
+    tokens = T.estimate(block["text"][:end])
+    return (end, tokens) if 0 < tokens <= policy["header"] else (0, 0)
+
+
 def _pieces(block: dict, policy: dict) -> list[tuple[int, int, str]]:
-    """(start, end, how) of the parts of an oversized block: rows or lines, sentences, then windows."""
-    text = block["text"]
+    """(start, end, how) of the parts of an oversized block: rows or lines, sentences, then windows. Parts of a table leave room for its header."""
+    text, spare = block["text"], _header(block, policy)[1]
     pattern, how = (r"[^\n]*\n|[^\n]+", "lines") if block["kind"] in ("table", "code") else (r"[^.!?。！？]*[.!?。！？]\s*|[^.!?。！？]+", "sentences")
     spans = []
     for m in re.finditer(pattern, text):
@@ -221,7 +228,7 @@ def _pieces(block: dict, policy: dict) -> list[tuple[int, int, str]]:
     total = 0
     for a, z, h in spans:
         t = T.estimate(text[a:z])
-        if out and total < policy["target"] and total + t <= policy["most"] and out[-1][2] == h:
+        if out and total < policy["target"] and total + t + (spare if len(out) > 1 else 0) <= policy["most"] and out[-1][2] == h:
             out[-1] = (out[-1][0], z, h)
             total += t
         else:
@@ -249,7 +256,10 @@ def chunks(blocks: list[dict], first: int, past: int, policy: dict = CHUNK) -> l
             continue
         if t > policy["most"]:
             flush()
-            plans += [([(i, a, z)], how) for a, z, how in _pieces(b, policy)]
+            head, spare = _header(b, policy)
+            for a, z, how in _pieces(b, policy):
+                again = 0 < head <= a and how == "lines" and spare + T.estimate(b["text"][a:z]) <= policy["most"]
+                plans.append(([(i, 0, head), (i, a, z)] if again else [(i, a, z)], "table_rows" if again else how))
             continue
         if held and (total >= policy["target"] or total + t > policy["most"]):
             flush()
@@ -269,8 +279,8 @@ def chunks(blocks: list[dict], first: int, past: int, policy: dict = CHUNK) -> l
                 extra.insert(0, s)
                 taken += t
         whole = [*extra, *slices]
-        text = "\n\n".join(blocks[i]["text"][a:z] for i, a, z in whole)
-        out.append({"slices": whole, "overlap": len(extra), "text": text, "tokens": sum(T.estimate(blocks[i]["text"][a:z]) for i, a, z in whole), "split": how})
+        text = ("" if how == "table_rows" else "\n\n").join(blocks[i]["text"][a:z] for i, a, z in whole)
+        out.append({"slices": whole, "overlap": len(extra) + (how == "table_rows"), "text": text, "tokens": sum(T.estimate(blocks[i]["text"][a:z]) for i, a, z in whole), "split": how})
     return out
 
 
@@ -299,6 +309,35 @@ def _over(docs: DataFrame, schema: str, rows) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def parsed(docs: DataFrame, chunked: bool = True) -> DataFrame:
+    """Each document with its blocks, units, chunks (if wanted) and problems: it is parsed once for all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("doc_id", pa.int64()), *((n, pa.list_(pa.struct([(f.split(" ")[0], _kind(f.split(" ", 1)[1])) for f in re.split(r", (?![^<]*>)", s)[1:]]))) for n, s in (("blocks", _BLOCK), ("units", _UNIT), ("chunks", _CHUNK))), ("problems", pa.list_(pa.string()))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                rows = []
+                for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    blocks, problems = parse(t or "")
+                    own = units(blocks)
+                    rows.append({
+                        "doc_id": d,
+                        "blocks": [{"ord": i} | {k: b[k] for k in ("kind", "level", "ordered", "language", "section", "text", "start", "end")} for i, b in enumerate(blocks)],
+                        "units": [{"unit": i, "tokens": sum(T.estimate(b["text"]) for b in blocks[u["first"] : u["past"]])} | {k: u[k] for k in ("kind", "title", "boundary", "first", "past")} for i, u in enumerate(own)],
+                        "chunks": [{"unit": i, "ordinal": k, "slices": [{"block": x, "start": a, "end": z} for x, a, z in c["slices"]]} | {n: c[n] for n in ("text", "tokens", "split", "overlap")} for i, u in enumerate(own if chunked else ()) for k, c in enumerate(chunks(blocks, u["first"], u["past"]))],
+                        "problems": problems,
+                    })
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    kinds = ", ".join(f"{n} array<struct<" + ",".join(f"{f.split(' ')[0]}:{f.split(' ', 1)[1]}" for f in re.split(r", (?![^<]*>)", s)[1:]) + ">>" for n, s in (("blocks", _BLOCK), ("units", _UNIT), ("chunks", _CHUNK)))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {kinds}, problems array<string>")
+
+
+def _of(p: DataFrame, part: str) -> DataFrame:
+    return p.select("doc_id", F.explode(part).alias("x")).select("doc_id", "x.*")
+
+
 def block_table(docs: DataFrame) -> DataFrame:
     return _over(docs, _BLOCK, lambda d, t: [(d, i, b["kind"], b["level"], b["ordered"], b["language"], b["section"], b["text"], b["start"], b["end"]) for i, b in enumerate(parse(t)[0])])
 
@@ -309,23 +348,19 @@ def diagnostic_table(docs: DataFrame) -> DataFrame:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    def rows(d, t):
-        blocks = parse(t)[0]
-        return [(d, i, u["kind"], u["title"], u["boundary"], u["first"], u["past"], sum(T.estimate(b["text"]) for b in blocks[u["first"] : u["past"]])) for i, u in enumerate(units(blocks))]
-
-    return _over(docs, _UNIT, rows)
+    return _of(parsed(docs, chunked=False), "units")
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    def rows(d, t):
-        blocks = parse(t)[0]
-        out = []
-        for i, u in enumerate(units(blocks)):
-            for k, c in enumerate(chunks(blocks, u["first"], u["past"])):
-                out.append((d, i, k, c["text"], c["tokens"], c["split"], c["overlap"], [{"block": x, "start": a, "end": z} for x, a, z in c["slices"]]))
-        return out
-
-    return _over(docs, _CHUNK, rows)
+    return _of(parsed(docs), "chunks")
+
+
+def violations(docs: DataFrame) -> DataFrame:
+    """doc_id and problem of all structure checks, from one parse, which is written and read again."""
+    p = written(parsed(docs), "parsed")
+    b = _of(p, "blocks")
+    out = block_violations(b).unionByName(unit_violations(_of(p, "units"))).unionByName(chunk_violations(_of(p, "chunks"), b))
+    return out.unionByName(uncovered(b, docs).select("doc_id", F.lit("uncovered").alias("problem")))
 
 
 def linked(chunk_rows: DataFrame) -> DataFrame:

@@ -44,10 +44,7 @@ def d11_d14_w9_chunks(spark, d):
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS problem WHERE false")
 def d4_d6_d15_d16_violations(spark, d):
     """The checks that every parsed, segmented and chunked document must pass: no rows."""
-    x = docs(spark, d)
-    b = S.block_table(x)
-    out = S.block_violations(b).unionByName(S.unit_violations(S.unit_table(x))).unionByName(S.chunk_violations(S.chunk_table(x), b))
-    return out.unionByName(S.uncovered(b, x).select("doc_id", F.lit("uncovered").alias("problem")))
+    return S.violations(docs(spark, d))
 
 
 LINES = r"""lines AS (SELECT doc_id, CAST(o - 1 AS INTEGER) AS ord, line AS text, 'paragraph' AS kind FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\n'), 1) AS o FROM documents) WHERE trim(line) <> '')"""
@@ -81,6 +78,20 @@ def m1_m6_jn17_block_matches(spark, d):
     return L.match_blocks(*two_versions(spark, d))
 
 
+_HEADS = LINES + """, b AS (SELECT doc_id, ord, ord % 4 = 0 AS head, CASE WHEN ord % 4 = 0 THEN 1 + (ord // 4) % 2 END AS level, ord % 4 <> 0 AND (doc_id + ord) % 3 = 0 AS matched FROM lines),
+h AS (SELECT doc_id, ord, level, (SELECT min(x.ord) FROM b x WHERE x.doc_id = b.doc_id AND x.ord > b.ord AND x.head AND x.level <= b.level) AS past, (SELECT min(x.ord) FROM b x WHERE x.doc_id = b.doc_id AND x.ord > b.ord AND x.matched) AS anchor FROM b WHERE head),
+p AS (SELECT doc_id, ord AS current, (SELECT max(x.ord) FROM b x WHERE x.doc_id = h.doc_id AND x.ord < anchor AND x.head AND x.level = h.level) AS previous FROM h WHERE anchor IS NOT NULL AND (past IS NULL OR anchor < past))"""
+
+
+@query(f"WITH {_HEADS} SELECT doc_id, previous, min(current) AS current FROM p WHERE previous IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1")
+def m5_anchored_headings(spark, d):
+    x = lines(docs(spark, d)).select("doc_id", "ord")
+    head = F.col("ord") % 4 == 0
+    b = x.select("doc_id", "ord", F.when(head, "heading").otherwise("paragraph").alias("kind"), F.when(head, 1 + F.floor(F.col("ord") / 4) % 2).alias("level"))
+    same = b.where(~head & ((F.col("doc_id") + F.col("ord")) % 3 == 0)).select("doc_id", F.col("ord").alias("previous"), F.col("ord").alias("current"))
+    return L.anchored_headings(b, b, same)
+
+
 @query()
 def m10_jn8_w10_block_changes(spark, d):
     p, c = two_versions(spark, d)

@@ -331,3 +331,25 @@ def f28_m17_canonical_bytes(spark, d):
 
     x = read(spark, d, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL").select("doc_id", F.to_json(F.struct("n_chars", "lang", "doc_id")).alias("j"))
     return x.select("doc_id", identity.bytes_of(identity.canonical_json_column(F.col("j"))).alias("bytes"))
+
+
+@query("""WITH l AS (SELECT doc_id AS record_id, 'sha256:' || sha256(lang || ' ' || n_chars) AS digest, doc_id % 3 AS k FROM documents WHERE lang IS NOT NULL)
+SELECT record_id, CASE WHEN k = 0 OR record_id % 4 = 0 THEN 'embedded' ELSE 'reused' END AS origin FROM l""")
+def m22_m23_m25_s10_s14_reindexed(spark, d):
+    """A first version is published, the next one takes its vectors over where texts are unchanged; it stops before its pointer and is recovered."""
+    from ..sources import publish, store
+    from ..storage import new_folder
+
+    x = read(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("record_id"), F.concat_ws(" ", "lang", F.col("n_chars").cast("string")).alias("text"))
+    x = x.withColumn("digest", T.digest(F.col("text")))
+    before = x.where("record_id % 3 <> 0").withColumn("text", F.when(F.col("record_id") % 4 == 0, "older").otherwise(F.col("text"))).withColumn("digest", T.digest(F.col("text")))
+    at = store.Store(spark, new_folder(spark, "published"), "c1")
+    p, now = publish.Publisher(at, "one"), F.lit("2024-01-01").cast("timestamp")
+    p.publish("documents", "v1", store.embedded(before).drop("text"), now)
+    own = lambda v: at.records((F.col("document_index_id") == "documents") & (F.col("index_version") == v)).select("record_id", "digest", "embedding")
+    p.publish("documents", "v2", publish.reindexed(x, own("v1")).drop("origin"), now, stop_before_pointer=True)
+    p.recover()
+    version = at.current().where(F.col("document_index_id") == "documents").first()["index_version"]
+    known = own("v1").select("record_id", "digest", F.col("embedding").alias("was"))
+    same = F.coalesce(F.col("was") == F.col("embedding"), F.lit(False))
+    return own(version).join(known, ["record_id", "digest"], "left").select("record_id", F.when(same, "reused").otherwise("embedded").alias("origin"))

@@ -47,10 +47,15 @@ class Store:
             if written.count() != records.count():
                 raise RuntimeError("the staged version is not complete")
             state = "published"
+        self.point(index_id, version)
+        return state
+
+    def point(self, index_id: str, version: str) -> str:
+        """Makes a stored version the current one."""
         n = self._read("pointers")
         order = 0 if n is None else (n.where(F.col("document_index_id") == index_id).agg(F.max("order")).first()[0] or 0) + 1
         self.spark.createDataFrame([(index_id, version, order)], "document_index_id string, index_version string, order long").coalesce(1).write.mode("append").parquet(self._at("pointers"))
-        return state
+        return "published"
 
     def current(self) -> DataFrame:
         """document_index_id and its current index_version."""
