@@ -64,6 +64,13 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256), 1, 32))
 
 
+def uuid7(ms: Column, key: Column) -> Column:
+    """A version 7 UUID of a time in milliseconds whose random bits come from the key: a retried task gives the same."""
+    t, h = F.lpad(F.lower(F.hex(ms.cast("long"))), 12, "0"), F.sha2(key.cast("binary"), 256)
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.ascii(F.substring(h, 4, 1)) % 4 + 1).cast("int"))
+    return F.concat(F.substring(t, 1, 8), F.lit("-"), F.substring(t, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-"), variant, F.substring(h, 5, 3), F.lit("-"), F.substring(h, 8, 12))
+
+
 def set_digest(rows: Column) -> Column:
     """Digest of an array of texts, whatever its order."""
     return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(rows), "\n").cast("binary"), 256))

@@ -30,6 +30,7 @@ PROSE = ("paragraph", "list_item", "quote")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _ITEM = re.compile(r"([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(.*)$")
 _QUOTE = re.compile(r" {0,3}>[ ]?(.*)$")
 _DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -61,6 +62,12 @@ def parse(source: str) -> tuple[list[dict], list[str]]:
     def add(kind: str, text: str, i: int, j: int, **more) -> None:
         blocks.append({"kind": kind, "text": text, "level": 0, "ordered": False, "language": None, "cells": None} | more | {"section": [t for _, t in stack], "start": starts[i], "end": starts[j - 1] + len(lines[j - 1])})
 
+    def heading(level: int, title: str, i: int, j: int) -> None:
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, title))
+        add("heading", title, i, j, level=level)
+
     i, n = 0, len(lines)
     while i < n:
         x = lines[i]
@@ -73,11 +80,7 @@ def parse(source: str) -> tuple[list[dict], list[str]]:
             add("code", "\n".join(lines[i + 1 : j]), i, min(j + 1, n), language=m[2].strip() or None)
             i = min(j + 1, n)
         elif m := _HEADING.match(x):
-            level, title = len(m[1]), _inline(m[2] or "")
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, title))
-            add("heading", title, i, i + 1, level=level)
+            heading(len(m[1]), _inline(m[2] or ""), i, i + 1)
             i += 1
         elif _RULE.match(x):
             add("divider", "", i, i + 1)
@@ -107,8 +110,12 @@ def parse(source: str) -> tuple[list[dict], list[str]]:
             i = j
         else:
             j = i + 1
-            while j < n and lines[j].strip() and not (_HEADING.match(lines[j]) or _FENCE.match(lines[j]) or _RULE.match(lines[j]) or _ITEM.match(lines[j]) or _QUOTE.match(lines[j])):
+            while j < n and lines[j].strip() and not (_SETEXT.match(lines[j]) or _HEADING.match(lines[j]) or _FENCE.match(lines[j]) or _RULE.match(lines[j]) or _ITEM.match(lines[j]) or _QUOTE.match(lines[j])):
                 j += 1
+            if j < n and _SETEXT.match(lines[j]):
+                heading(1 if "=" in lines[j] else 2, _inline(" ".join(y.strip() for y in lines[i:j])), i, j + 1)
+                i = j + 1
+                continue
             if _HTML.match(x):
                 problems.append("unsupported_markdown_node")
             add("paragraph", _inline("\n".join(y.strip() for y in lines[i:j])), i, j)
@@ -400,7 +407,8 @@ def chunk_violations(chunk_rows: DataFrame, blocks: DataFrame, policy: dict = CH
     w = Window.partitionBy("doc_id", "ord").orderBy("a", "z").rowsBetween(Window.unboundedPreceding, -1)
     c = s.withColumn("_to", F.coalesce(F.max("z").over(w), F.lit(0))).groupBy("doc_id", "ord").agg(F.max(F.when(F.col("a") > F.col("_to"), 1).otherwise(0)).alias("gap"), F.max("z").alias("z"))
     want = blocks.where(T.token_estimate(F.col("text")) > 0).select("doc_id", "ord", F.length("text").alias("n"))
-    short = want.join(c, ["doc_id", "ord"], "left").where(F.col("z").isNull() | (F.col("gap") > 0) | (F.col("z") < F.col("n"))).select("doc_id", F.lit("coverage").alias("problem"))
+    own = want["doc_id"].eqNullSafe(c["doc_id"]) & (want["ord"] == c["ord"])
+    short = want.join(c.select("doc_id", "ord", "gap", "z"), own, "left").select(want["doc_id"], "n", "gap", "z").where(F.col("z").isNull() | (F.col("gap") > 0) | (F.col("z") < F.col("n"))).select("doc_id", F.lit("coverage").alias("problem"))
     return big.unionByName(short).distinct()
 
 

@@ -73,14 +73,14 @@ def s20_m24_deterministic_embeddings(spark, d):
     return e.select("chunk_revision_id", F.size("embedding").alias("dimensions"), F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
-@query("SELECT vec_id AS record_id, label FROM embeddings WHERE label = 3")
+@query("SELECT vec_id AS record_id, label, 'label-' || coalesce(CAST(label AS VARCHAR), 'None') AS document_index_id, CASE WHEN label % 2 = 1 THEN 'v2' ELSE 'v1' END AS index_version FROM embeddings")
 def s9_s15_m22_index_store(spark, d):
-    """Publishes each label's vectors as an index of its own, for odd labels as a second version, and reads one index back."""
+    """Publishes each label's vectors as an index of its own, for odd labels as a second version, and reads all current versions."""
     import uuid
 
     s = store.Store(spark, f"{shared_dir(spark)}/lexspan-store-{uuid.uuid4().hex}", "cosine-64")
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    labels = sorted({r["label"] for r in e.select("label").distinct().collect()} | {3}, key=lambda x: (x is not None, x or 0))
+    labels = sorted({r["label"] for r in e.select("label").distinct().collect()}, key=lambda x: (x is not None, x or 0))
     for before, x in zip([labels[-1], *labels], labels, strict=False):
         own = lambda k: e.where(F.col("label").eqNullSafe(F.lit(k)))
         odd = x is not None and x % 2 == 1
@@ -88,4 +88,11 @@ def s9_s15_m22_index_store(spark, d):
             s.publish(f"label-{x}", "v1", own(before))
         s.publish(f"label-{x}", "v2" if odd else "v1", own(x))
     cur = F.broadcast(s.current())  # one row for each index
-    return s.records(F.col("document_index_id") == "label-3").join(cur, ["document_index_id", "index_version"]).select("record_id", "label")
+    return s.records().join(cur, ["document_index_id", "index_version"]).select("record_id", "label", "document_index_id", "index_version")
+
+
+@query("""WITH v AS (SELECT o_orderkey AS index_version, o_orderdate FROM orders), l AS (SELECT l_orderkey AS index_version FROM lineitem WHERE l_shipdate + INTERVAL 30 DAY > TIMESTAMP '1998-06-01')
+SELECT index_version FROM v WHERE index_version NOT IN (SELECT index_version FROM l)""")
+def s15_deletable_versions(spark, d):
+    leases = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("index_version"), (F.col("l_shipdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    return store.deletable(read(spark, d, "orders").select(F.col("o_orderkey").alias("index_version")), leases, F.lit("1998-06-01").cast("timestamp"))

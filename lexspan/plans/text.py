@@ -172,10 +172,14 @@ def f29_column_groups(spark, d):
     return g.select("p_brand", F.col("grp").cast("long").alias("grp"), F.size("g").cast("long").alias("n"), F.element_at("g", 1).alias("first_name"))
 
 
-@query("""SELECT page_id, ['id', 'path'] AS declared, '/pages/{id}/{' || (page_id % 3) || '}' AS template, CAST(1 + 1 AS BIGINT) AS n_mismatch FROM pages""")
+@query("""WITH p AS (SELECT page_id, list_filter(['id', CASE WHEN page_id % 2 = 0 THEN 'p' || page_id % 3 END, CASE WHEN page_id % 5 = 0 THEN 'extra' END], lambda x: x IS NOT NULL) AS declared, '/pages' || CASE WHEN page_id % 7 > 0 THEN '/{id}' ELSE '' END || '/{p' || (page_id % 3) || '}' AS template FROM pages)
+SELECT page_id, array_to_string(declared, ',') AS declared, template, CAST(CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_mismatch FROM p""")
 def f30_path_parameters(spark, d):
-    p = read(spark, d, "pages").select("page_id", F.array(F.lit("id"), F.lit("path")).alias("declared"), F.concat(F.lit("/pages/{id}/{"), (F.col("page_id") % 3).cast("string"), F.lit("}")).alias("template"))
-    return p.withColumn("n_mismatch", F.size(T.path_mismatch(F.col("template"), F.col("declared"))).cast("long"))
+    own = F.concat(F.lit("p"), (F.col("page_id") % 3).cast("string"))
+    declared = F.array_compact(F.array(F.lit("id"), F.when(F.col("page_id") % 2 == 0, own), F.when(F.col("page_id") % 5 == 0, "extra")))
+    template = F.concat(F.lit("/pages"), F.when(F.col("page_id") % 7 > 0, "/{id}").otherwise(""), F.lit("/{"), own, F.lit("}"))
+    p = read(spark, d, "pages").select("page_id", declared.alias("declared"), template.alias("template"))
+    return p.select("page_id", F.array_join("declared", ",").alias("declared"), "template", F.size(T.path_mismatch(F.col("template"), F.col("declared"))).cast("long").alias("n_mismatch"))
 
 
 @query(r"SELECT conv_id, turn, CAST(greatest(ceil(length(text) / 4.0), len(regexp_extract_all(text, '[^\x00-\x7F]'))) + 16 AS BIGINT) AS tokens FROM conversations")
@@ -200,9 +204,22 @@ def f34_backoff(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.backoff_ms(F.col("l_linenumber") * 2).alias("wait_ms"))
 
 
-@query(r"""SELECT doc_id, regexp_full_match('sha256:' || sha256(text), 'sha256:[0-9a-f]{64}') AS digest_ok, false AS uuid_ok, true AS id_ok, regexp_full_match(source, '[a-z][a-z0-9_]{0,63}') AS code_ok FROM documents""")
-def f36_r21_formats(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.is_digest(T.digest(F.col("text"))).alias("digest_ok"), T.is_uuid7(F.col("source")).alias("uuid_ok"), T.is_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), "doc").alias("id_ok"), T.failure_code(F.col("source")).alias("code_ok"))
+_UUID = """lower(substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(h, 1, 3) || '-' || ['8', '9', 'a', 'b'][ascii(substr(h, 4, 1)) % 4 + 1] || substr(h, 5, 3) || '-' || substr(h, 8, 12))"""
+
+
+@query(rf"""WITH x AS (SELECT event_id, lpad(to_hex(epoch_us(ts) // 1000), 12, '0') AS t, sha256(CAST(event_id AS VARCHAR)) AS h, event_type FROM events)
+SELECT event_id, {_UUID} AS uuid, event_id % 4 <> 0 AS uuid_ok, event_id % 3 <> 0 AS digest_ok, event_id % 5 <> 0 AS id_ok, event_type <> 'error' AS code_ok FROM x""")
+def f35_f36_r21_formats(spark, d):
+    """Made identifiers pass their checks, spoiled ones do not."""
+    from ..functions import identity
+
+    key = F.col("event_id").cast("string")
+    uuid = identity.uuid7(F.unix_millis(F.col("ts").cast("timestamp")), key)
+    spoiled = lambda n, c, bad: F.when(F.col("event_id") % n == 0, bad).otherwise(c)
+    return read(spark, d, "events").select(
+        "event_id", uuid.alias("uuid"), T.is_uuid7(spoiled(4, uuid, F.overlay(uuid, F.lit("4"), 15))).alias("uuid_ok"), T.is_digest(spoiled(3, T.digest(key), F.upper(T.digest(key)))).alias("digest_ok"),
+        T.is_id(spoiled(5, F.concat(F.lit("doc_"), key), F.concat(F.lit("doc "), key)), "doc").alias("id_ok"), T.failure_code(F.when(F.col("event_type") == "error", "Error!").otherwise(F.col("event_type"))).alias("code_ok"),
+    )
 
 
 @query("""SELECT event_type, min(value) AS least, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1""")

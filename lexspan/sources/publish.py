@@ -35,7 +35,7 @@ class Publisher:
         """acquired, renewed or busy; an acquired or renewed lease is written."""
         schema = "version_id string, owner string, expires_at timestamp"
         key = f"{index_id}/{version}"
-        held = self._read("leases", schema).where(F.col("version_id") == key).groupBy("version_id", "owner").agg(F.max("expires_at").alias("expires_at"))
+        held = self._read("leases", schema).where(F.col("version_id") == key).groupBy("version_id").agg(F.max_by("owner", "expires_at").alias("owner"), F.max("expires_at").alias("expires_at"))
         asked = self.spark.createDataFrame([(key, self.owner)], "version_id string, owner string").withColumn("requested_at", now)
         outcome = state.leased(held, asked, now).first()["outcome"]
         if outcome != "busy":
