@@ -12,6 +12,7 @@ doc_id are all kept, in the order of their texts' hashes; an empty table gives n
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from . import _spark, _tokens
 MAGIC, BLOCK = b"LXSPTOK1", 1 << 16
 #: Ids after which a task begins another file.
 FILE_IDS = 16 << 20
+#: Ids of consecutive documents that are read at once.
+IDS = 1 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -52,28 +55,36 @@ def encode_file(doc_ids: list[int | None], first: np.ndarray, ids: np.ndarray, b
 
 
 class TokenFile:
-    """A file's documents; ids are unpacked block by block as they are asked for."""
+    """A file's documents. Header and offsets are read at once, blocks only as their ids are asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        if bytes(self.data[:8]) != MAGIC:
+    def __init__(self, source):
+        """source: bytes, or a seekable file."""
+        self._file = io.BytesIO(source) if isinstance(source, (bytes, memoryview)) else source
+        head = self._read(0, 32)
+        if head[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.bits, self.block, n, self.n_ids = struct.unpack_from("<IIQQ", self.data, 8)
-        at = 32
-        ids = np.frombuffer(self.data, "<i8", n, at)
-        ok = np.frombuffer(self.data, np.uint8, n, at := at + 8 * n)
-        self.doc_ids = [int(x) if y else None for x, y in zip(ids, ok, strict=True)]
-        self.first = np.frombuffer(self.data, "<u8", n + 1, at := at + n).astype(np.int64)
+        self.bits, self.block, n, self.n_ids = struct.unpack_from("<IIQQ", head, 8)
         blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(self.data, "<u8", blocks + 1, at := at + 8 * (n + 1)).astype(np.int64)
-        self.base = at + 8 * (blocks + 1)
+        rest, at = self._read(32, 9 * n + 8 * (n + 1) + 8 * (blocks + 1)), 0
+        ids = np.frombuffer(rest, "<i8", n, at)
+        ok = np.frombuffer(rest, np.uint8, n, at := at + 8 * n)
+        self.doc_ids = [int(x) if y else None for x, y in zip(ids, ok, strict=True)]
+        self.first = np.frombuffer(rest, "<u8", n + 1, at := at + n).astype(np.int64)
+        self.offsets = np.frombuffer(rest, "<u8", blocks + 1, at := at + 8 * (n + 1)).astype(np.int64)
+        self.base = 32 + len(rest)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self._file.seek(at)
+        return self._file.read(n)
 
     def range(self, a: int, z: int) -> np.ndarray:
         """The ids numbered a to z - 1."""
         if a >= z:
             return np.zeros(0, np.uint32)
         k, m = a // self.block, (z - 1) // self.block + 1
-        got = [unpack(self.data[self.base + self.offsets[i] : self.base + self.offsets[i + 1]], self.bits, min(self.block, self.n_ids - i * self.block)) for i in range(k, m)]
+        at = self.offsets[k : m + 1] - self.offsets[k]
+        raw = self._read(self.base + int(self.offsets[k]), int(at[-1]))
+        got = [unpack(raw[at[i - k] : at[i - k + 1]], self.bits, min(self.block, self.n_ids - i * self.block)) for i in range(k, m)]
         return np.concatenate(got)[a - k * self.block : z - k * self.block]
 
     def document(self, i: int) -> np.ndarray:
@@ -139,14 +150,20 @@ def write(docs: DataFrame, file: str, folder: str, end_id: int | None = None, bi
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            f = TokenFile(_spark.read_file(at))
-            for a in range(0, len(f.doc_ids), 4096):
-                b = min(a + 4096, len(f.doc_ids))
-                ids = f.range(int(f.first[a]), int(f.first[b]))
-                off = f.first[a : b + 1] - f.first[a]
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.record_batch([pa.array(f.doc_ids[a:b], pa.int64()), pa.array(f.first[a:b] + start), pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array([at] * (b - a))], ["doc_id", "start", "n_tokens", "ids_crc32", "path"])
+            with _spark.opened(at) as source:
+                yield from _digests(TokenFile(source), start, at)
+
+
+def _digests(f: TokenFile, start: int, path: str) -> Iterator[pa.RecordBatch]:
+    a, n = 0, len(f.doc_ids)
+    while a < n:
+        b = min(max(a + 1, int(np.searchsorted(f.first, f.first[a] + IDS, "right")) - 1), n)
+        ids = f.range(int(f.first[a]), int(f.first[b]))
+        off = f.first[a : b + 1] - f.first[a]
+        raw = memoryview(ids.astype("<u4").tobytes())
+        crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield pa.record_batch([pa.array(f.doc_ids[a:b], pa.int64()), pa.array(f.first[a:b] + start), pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array([path] * (b - a))], ["doc_id", "start", "n_tokens", "ids_crc32", "path"])
+        a = b
 
 
 def digests(spark, files: list[dict]) -> DataFrame:
