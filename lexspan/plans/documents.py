@@ -160,7 +160,11 @@ def a9_a10_record_set_digest(spark, d):
     return x.groupBy("doc_id").agg(identity.set_digest(F.collect_list("d")).alias("digest"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, '{' || array_to_string(list_filter([CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END, CASE WHEN n_chars IS NOT NULL THEN '"n_chars":' || n_chars END, CASE WHEN source IS NOT NULL THEN '"source":"' || source || '"' END], lambda x: x IS NOT NULL), ',') || '}' AS canonical FROM documents),
+h AS (SELECT *, sha256(canonical) AS hex FROM c),
+b AS (SELECT *, list_reduce(list_transform(range(1, 65), lambda i: right(bin(position(hex[i] IN '0123456789abcdef') + 15), 4)), lambda x, y: x || y) || '0000' AS b FROM h)
+SELECT doc_id, canonical, 'rev_' || list_reduce(list_transform(range(0, 52), lambda i: 'abcdefghijklmnopqrstuvwxyz234567'[1
+  + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT)]), lambda x, y: x || y) AS revision FROM b""")
 def f6_f7_r10_r11_revision_ids(spark, d):
     x = docs(spark, d).select("doc_id", F.to_json(F.struct("lang", "source", "n_chars")).alias("j"))
     return x.select("doc_id", identity.canonical_json_column(F.col("j")).alias("canonical"), identity.revision_column("rev", F.col("j")).alias("revision"))

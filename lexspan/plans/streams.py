@@ -65,7 +65,9 @@ def x_joined_ranks(spark, d):
     return t.select("n_name", "r_name", F.rank().over(Window.partitionBy("r_name").orderBy(F.desc("total"))).alias("rank"), "total")
 
 
-@query()
+@query("""WITH h AS (SELECT item_id, sha256('deterministic-v1' || chr(0) || text || chr(0) || '0') || sha256('deterministic-v1' || chr(0) || text || chr(0) || '1') AS hex FROM benchmark),
+v AS (SELECT item_id, list_transform(range(0, 64), lambda i: (16 * (position(hex[2 * i + 1] IN '0123456789abcdef') - 1) + position(hex[2 * i + 2] IN '0123456789abcdef') - 1) / 127.5 - 1) AS v FROM h)
+SELECT item_id AS chunk_revision_id, CAST(len(v) AS INTEGER) AS dimensions, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM v""")
 def s20_m24_deterministic_embeddings(spark, d):
     chunks = read(spark, d, "benchmark").select(F.col("item_id").alias("chunk_revision_id"), "text", T.digest(F.col("text")).alias("digest"))
     cache = store.embedded(chunks.where("chunk_revision_id % 2 = 0")).select("chunk_revision_id", "digest", "embedding")
