@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import _spark, _text
 
 N, SHARE, BANDS = 5, 0.8, 16
+#: log2 of the places that tell the windows whose least hash no template has.
+BITS = 16
 
 #: Notices, headers and short license texts as their publishers word them.
 TEMPLATES = {
@@ -84,8 +86,13 @@ def _hashed(h: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _told(least: np.ndarray) -> np.ndarray:
+    """The low bits of least hashes: unlike the high ones they are spread evenly."""
+    return (least & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
 class Index:
-    """Templates by shingle length, window class and band."""
+    """Templates by shingle length, window class and band. Only the shingles are sent to workers, which make the keys anew."""
 
     def __init__(self, templates: dict[str, str], n: int = N, bands: int = BANDS):
         self.bands = bands
@@ -97,13 +104,23 @@ class Index:
             if k:
                 s = np.unique(_text.window_hashes(h, k))
                 self.groups.setdefault((k, 1 << (len(s) - 1).bit_length()), []).append((name, s))
+        self._band()
+
+    def __getstate__(self) -> tuple:
+        return self.bands, self.groups
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bands, self.groups = state
+        self._band()
+
+    def _band(self) -> None:
         self.keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for (k, w), own in self.groups.items():
-            for b, seed in enumerate(_seeds(bands)):
+            for b, seed in enumerate(_seeds(self.bands)):
                 least = np.array([_hashed(s, seed).min() for _, s in own], np.uint64)
                 order = np.argsort(least, kind="stable")
-                bits = np.zeros(1 << 20, bool)
-                bits[(least >> np.uint64(44)).astype(np.int64)] = True
+                bits = np.zeros(1 << BITS, bool)
+                bits[_told(least)] = True
                 self.keys[k, w, b] = least[order], order, bits
 
     def find(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[tuple[int, str, float, int, int, int]]:
@@ -128,7 +145,7 @@ class Index:
                     if w in classes:
                         keys, order, bits = self.keys[k, w, b]
                         seen = low[grid[w]]
-                        at = np.flatnonzero(bits[(seen >> np.uint64(44)).astype(np.int64)])
+                        at = np.flatnonzero(bits[_told(seen)])
                         spot = np.searchsorted(keys, seen[at])
                         while len(at):
                             ok = (spot < len(keys)) & (keys[np.minimum(spot, len(keys) - 1)] == seen[at])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import values
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexspan.llm import _spark, _text, _tokens, components, decontaminate, jaccard_join, langid, license_scan, packing, quality, queries, token_counts, token_store, topk, warc
@@ -170,6 +171,14 @@ def test_license_windows_against_full_containment():
     assert alone == got
 
 
+def test_license_index_is_small_where_it_is_sent():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    sent = cloudpickle.dumps(license_scan._scan(index, license_scan.SHARE))
+    assert len(sent) < 1 << 20  # larger functions are written to the disk of the driver and of every executor
+    again = cloudpickle.loads(cloudpickle.dumps(index))
+    assert again.keys.keys() == index.keys.keys() and all(np.array_equal(x, y) for k in index.keys for x, y in zip(index.keys[k], again.keys[k], strict=True))
+
+
 def test_license_scan_with_odd_rows(spark, tmp_path):
     text = license_scan.TEMPLATES["MIT"]
     (tmp_path / "House").write_text("one two three four five six seven eight nine ten")
