@@ -20,11 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in a link (a, b) between different ids; the component is its smallest id."""
-    edges = _spark.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = _spark.settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(edges)
     while before[0]:
-        edges = _spark.written(_star(_spark.written(_star(edges, True), "links"), False), "links")
+        edges = _spark.settled(_star(_spark.settled(_star(edges, True), "links"), False), "links")
         now = state(edges)
         if now == before:
             break

@@ -1,7 +1,9 @@
 """The operators of the subpackage against brute force, exact round trips or held-out accuracy, with nulls, ties, repeats and empty tables."""
 
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -342,6 +344,38 @@ def test_sketch_bound_is_sound():
             assert jaccard_join.near_possible(len(x), jaccard_join.sketch(x), len(y), jaccard_join.sketch(y), 4, 5)
 
 
+def test_one_of_each_moves_no_texts_that_surely_stay(spark):
+    rows = [(i, f"text {i // 2 if i < 40 else i} of five words or more") for i in range(400)] + [(7, "another text of the same id"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard_join.one_of_each(df)
+        found = {(r.doc_id, r.text) for r in got.collect()}
+        parts = got._jdf.queryExecution().optimizedPlan().children()
+        still = parts.apply(0).toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert parts.size() > 1 and not re.search("Join|Aggregate|Repartition", still)
+    groups = {i: i // 2 * 2 if i < 40 else i for i in range(400)}
+    assert {i for i, _ in found} == set(groups.values()) | {None} and got.count() == 380 + 2
+    ids = spark.createDataFrame([(i,) for i in (1, 3, 7)], "_gone long")
+    alone, some = jaccard_join._parted(df, "doc_id", ids)
+    assert alone.count() + some.count() == len(rows) and {1, 3, 7} <= {r.doc_id for r in some.collect()} and some.count() < 20
+    assert sorted(map(str, alone.unionByName(some).collect())) == sorted(map(str, df.collect()))
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for at in folders for _, _, names in os.walk(at) for x in names if x.startswith("shuffle_")}
+    before = files()
+    out = _spark.settled(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(_spark.CLEANUP) == "false"
+    assert sorted(r["count"] for r in out.collect()) == [142] * 1 + [143] * 6
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30), (30, 35), (50, 50)], "a long, b long")
     assert {r.id: r.component for r in components.components(links).collect()} == {i: 0 for i in range(21)} | {30: 30, 35: 30, 40: 30}
