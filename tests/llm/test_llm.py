@@ -382,6 +382,56 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def jobs(spark, run):
+    """(what run gives, the number of Spark jobs that it took)."""
+    sc, group = spark.sparkContext, f"counted-{random.random()}"
+    sc.setJobGroup(group, "counted")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("held", [1 << 18, 24, 3])
+def test_components_by_tasks_and_by_stars(spark, monkeypatch, held):
+    """One task holds all links; or only what the first tasks leave, here of links that come twenty times; or never."""
+    monkeypatch.setattr(components, "HELD", held)
+    random.seed(held)
+    pairs = [(random.randrange(-30, 30), random.randrange(-30, 30)) for _ in range(25)] * 20 if held == 24 else [(i, i + 1) for i in range(64)] + [(i, i + 7) for i in range(100, 160)]
+    up: dict[int, int] = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        if a != b:
+            up[b] = a
+    ids = {x for a, b in pairs if a != b for x in (a, b)}
+    got, took = jobs(spark, lambda: components.components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert sorted((r.id, r.component) for r in got) == sorted((x, top(x)) for x in ids)
+    if held == 1 << 18:  # a chain of 64 takes stars more than five rounds of several jobs
+        assert took <= 8
+
+
+def test_bit_sets_take_no_job_for_each_partition(spark):
+    """Of a shuffle: a run with 211 of them took 17 s for one bit set."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed, took = jobs(spark, lambda: jaccard_join._bit_set(spark.range(500).select("id"), 20))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    at = jaccard_join._place(np.arange(500).astype(np.uint64), 20)
+    assert np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")).tolist() == sorted(set(at.tolist()))
+    assert took <= 30
+
+
 # --- 7 packing
 
 
