@@ -68,6 +68,14 @@ def test_source_states(spark):
     assert got == {"a": ("ready", "running", "active", 1), "b": ("ready", "idle", "disabled", 1), "c": ("unavailable", "idle", "active", 0)}
 
 
+def test_plan_order_of_items_alike_does_not_depend_on_input_order(spark):
+    items = [(1, 2, "O", 7, n) for n in (3, 1, 2, None)] + [(1, 2, "F", 9, 5), (1, 1, "O", 9, 6), (2, 2, "O", 7, 4)]
+    want = {(1, 6): 1, (1, 5): 2, (1, None): 3, (1, 1): 4, (1, 2): 5, (1, 3): 6, (2, 4): 1}
+    for given in (items, items[::-1]):
+        df = rows(spark, given, "query_id long, scope_id long, scope_version string, item_key long, n long").coalesce(1)
+        assert {(r.query_id, r.n): r.place for r in checks.ordered_plan(df).collect()} == want
+
+
 def test_checks_on_empty_tables(spark):
     none = rows(spark, [], "query_id long, card long")
     items = rows(spark, [], "query_id long, item_key string, guide string, scope long, limit int, target_key string, selected_by array<long>")
