@@ -174,9 +174,14 @@ def planned(admitted: DataFrame) -> DataFrame:
     return items.select("query_id", "scope_key", one.alias("definition"), F.transform("_by", lambda x: x["version_id"]).alias("selected_by"))
 
 
-def plan_violations(plan: DataFrame) -> DataFrame:
-    """query_id and limit for each plan that is too large."""
-    a = plan.groupBy("query_id").agg(F.count("*").alias("items"), F.sum(F.size("selected_by")).alias("associations"), F.sum(F.octet_length("definition")).alias("guide_bytes"))
+def plan_sizes(plan: DataFrame) -> DataFrame:
+    """query_id, selected and definition_bytes of each item of a plan with its texts (definition) and cards (selected_by)."""
+    return plan.select("query_id", F.size("selected_by").alias("selected"), F.octet_length("definition").alias("definition_bytes"))
+
+
+def plan_violations(sizes: DataFrame) -> DataFrame:
+    """query_id and limit for each plan that is too large. sizes: query_id, selected, definition_bytes of each item, so that no text has to be at hand."""
+    a = sizes.groupBy("query_id").agg(F.count("*").alias("items"), F.sum("selected").alias("associations"), F.sum("definition_bytes").alias("guide_bytes"))
     checks = F.filter(F.array(*[F.when(F.col(k) > LIMITS[k], F.lit(k)) for k in ("items", "associations", "guide_bytes")]), lambda x: x.isNotNull())
     return a.select("query_id", F.explode(checks).alias("limit"))
 
