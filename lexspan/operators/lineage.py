@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Hashable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
-from ..storage import written
+from .passes import by_key
 
 #: Fixed values of the lineage policy.
 BLOCK_LEAST, BLOCK_MARGIN, UNIT_LEAST, UNIT_MARGIN = 0.85, 0.10, 0.60, 0.15
@@ -45,27 +49,123 @@ def longest_rising(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
     return out
 
 
-def in_sequence(matches: DataFrame) -> DataFrame:
-    """matches (doc_id, previous, current) with kept: whether the pair is on its document's longest rising run. Groups are documents."""
+class _Block:
+    """A block of one side; its text is only made where it is asked for."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(p["previous"].tolist(), p["current"].tolist(), strict=True))
-        on = longest_rising(pairs)
-        return p.assign(kept=[x in on for x in pairs])
+    __slots__ = ("_at", "_texts", "digest", "kind", "ord", "section")
 
-    return matches.select("doc_id", "previous", "current").groupBy("doc_id").applyInPandas(run, "doc_id long, previous int, current int, kept boolean")
+    def __init__(self, ord, kind, section, digest, texts: pa.Array, at: int):
+        self.ord, self.kind, self.section, self.digest, self._texts, self._at = ord, kind, section, digest, texts, at
 
+    @property
+    def text(self) -> str | None:
+        return self._texts[self._at].as_py()
 
-def fuzzy_matches(previous: DataFrame, current: DataFrame, least: float = BLOCK_LEAST, margin: float = BLOCK_MARGIN) -> DataFrame:
-    """(doc_id, previous, current, score) of unmatched blocks of one kind that are each other's best by token Jaccard, clear of the next best.
 
-    Pairs come from an inverted index of tokens within (document, kind), not from all pairs. Both: doc_id, ord, kind, text.
+Pairs = list[tuple[int, int]]
+
+
+def _only(previous: list[_Block], current: list[_Block], key: Callable[[_Block], tuple[Hashable, ...]]) -> Pairs:
+    """Pairs of blocks that are the only ones with their key on both sides; a key with nothing in a place is equal to none."""
+
+    def one(side: list[_Block]) -> dict:
+        found: dict = {}
+        for b in side:
+            k = key(b)
+            found[k] = None if k in found else b
+        return found
+
+    there = one(current)
+    return [(b.ord, there[k].ord) for k, b in one(previous).items() if b is not None and None not in k and there.get(k) is not None]
+
+
+def _likeness(sets: list[frozenset], others: list[frozenset], least: float) -> Iterator[tuple[int, int, float]]:
+    """(place, other place, Jaccard similarity) of all that are at least `least` alike, which have a token of both their prefixes in common."""
+    often = Counter(t for x in (*sets, *others) for t in x)
+    least = max(least - 1e-9, 0.0)
+
+    def prefix(x: frozenset) -> list[str]:
+        return sorted(x, key=lambda t: (often[t], t))[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]
+
+    index = defaultdict(list)
+    for i, x in enumerate(sets):
+        for t in prefix(x):
+            index[t].append(i)
+    for j, y in enumerate(others):
+        for i in {i for t in prefix(y) for i in index.get(t, ())}:
+            x = sets[i]
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            both = len(x & y)
+            if both and (score := both / (len(x) + len(y) - both)) >= least:
+                yield i, j, score
+
+
+def _likely(previous: list[_Block], current: list[_Block], least: float, margin: float) -> list[tuple[int, int, float]]:
+    """(previous, current, score) of blocks of one kind that are each other's best by token Jaccard, clear of the next best.
+
+    Blocks of equal token sets are compared once: several of them are each other's runners-up, so only single ones can match.
+    A runner-up that is not within the margin of `least` decides nothing.
     """
-    terms = lambda df: df.withColumn("_t", T.tokens(F.col("text"))).withColumn("_n", F.size("_t")).select("doc_id", "kind", "ord", "_n", F.explode("_t").alias("t"))
-    p, c = terms(previous), terms(current)
-    both = p.select("doc_id", "kind", "t", F.col("ord").alias("previous"), F.col("_n").alias("pn")).join(c.select("doc_id", "kind", "t", F.col("ord").alias("current"), F.col("_n").alias("cn")), ["doc_id", "kind", "t"])
-    s = both.groupBy("doc_id", "previous", "current").agg((F.count("*") / (F.first("pn") + F.first("cn") - F.count("*"))).alias("score"))
-    return mutual_best(s, ["doc_id"], least, margin)
+    out = []
+    for kind in {b.kind for b in previous if b.kind is not None} & {b.kind for b in current}:
+        sides = []
+        for side in (previous, current):
+            same = defaultdict(list)
+            for b in side:
+                if b.kind == kind and (t := frozenset(T.token_list(b.text))):
+                    same[t].append(b.ord)
+            sides.append((list(same), list(same.values())))
+        (ps, po), (cs, co) = sides
+        scores = list(_likeness(ps, cs, least - margin))
+        best: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for i, j, score in scores:
+            best[0][i] += [score] * min(len(co[j]), 2)
+            best[1][j] += [score] * min(len(po[i]), 2)
+        tops = [{k: (*sorted(v, reverse=True)[:2], 0.0)[:2] for k, v in x.items()} for x in best]
+        for i, j, score in scores:
+            (a, x), (b, y) = tops[0][i], tops[1][j]
+            if score == a == b and score >= least and score - max(x, y) >= margin:
+                out.append((po[i][0], co[j][0], score))
+    return out
+
+
+def _replaced(previous: list[_Block], current: list[_Block], anchors: set[tuple[int, int]]) -> Pairs:
+    """Pairs where between two anchors each side has one block left, of the same kind."""
+
+    def between(side: list[_Block], own: dict[int, int]) -> dict:
+        gaps, gap = defaultdict(list), -1
+        for b in sorted(side, key=lambda b: b.ord):
+            if b.ord in own:
+                gap = own[b.ord]
+            else:
+                gaps[gap].append(b)
+        return {(g, x[0].kind): x[0].ord for g, x in gaps.items() if len(x) == 1 and x[0].kind is not None}
+
+    there = between(current, {c: p for p, c in anchors})
+    return [(x, there[k]) for k, x in between(previous, {p: p for p, _ in anchors}).items() if k in there]
+
+
+def _identities(previous: list[_Block], current: list[_Block]) -> list[tuple[int, int, str]]:
+    """(previous, current, how) of one document's blocks."""
+    found: list[tuple[int, int, str]] = []
+    rest: list[list[_Block]] = [previous, current]
+
+    def take(pairs: Pairs, how: str) -> None:
+        found.extend((p, c, how) for p, c in pairs)
+        for side in (0, 1):
+            used = {x[side] for x in pairs}
+            rest[side] = [b for b in rest[side] if b.ord not in used]
+
+    take(_only(*rest, lambda b: (b.kind, b.digest, b.section)), "in_place")
+    take(_only(*rest, lambda b: (b.kind, b.digest)), "exact")
+    rising = longest_rising(_only(*rest, lambda b: (b.kind, T.collapsed_lower(b.text))))
+    take(sorted(rising), "sequence")
+    take([(p, c) for p, c, _ in _likely(*rest, BLOCK_LEAST, BLOCK_MARGIN)], "likely")
+    anchors = longest_rising([(p, c) for p, c, _ in found])
+    loose = {(p, c) for p, c, _ in found} - anchors
+    sides = [[b for b in side if b.ord not in {x[k] for x in loose}] for k, side in ((0, previous), (1, current))] if loose else [previous, current]
+    return found + [(p, c, "replaced") for p, c in _replaced(*sides, anchors)]
 
 
 def mutual_best(scores: DataFrame, group: list[str], least: float, margin: float) -> DataFrame:
@@ -78,18 +178,6 @@ def mutual_best(scores: DataFrame, group: list[str], least: float, margin: float
     return out.where((F.col("_r_previous") == 1) & (F.col("_r_current") == 1) & (F.col("score") >= least) & ahead).select(*group, "previous", "current", "score")
 
 
-def replacements(previous: DataFrame, current: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, previous, current) where between two anchors each side has one unmatched block, of the same kind. anchors: doc_id, previous, current, in sequence."""
-
-    def between(rows: DataFrame, side: str) -> DataFrame:
-        a = anchors.select("doc_id", F.col(side).alias("ord"), F.lit(1).alias("_a"), "previous")
-        w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        j = rows.join(a, ["doc_id", "ord"], "left").withColumn("gap", F.coalesce(F.last("previous", ignorenulls=True).over(w), F.lit(-1)))
-        return j.where("_a IS NULL").groupBy("doc_id", "gap").agg(F.count("*").alias("_n"), F.min("ord").alias(f"_{side}"), F.min("kind").alias("kind")).where("_n = 1").select("doc_id", "gap", "kind", F.col(f"_{side}"))
-
-    return between(previous, "previous").join(between(current, "current"), ["doc_id", "gap", "kind"]).select("doc_id", F.col("_previous").alias("previous"), F.col("_current").alias("current"))
-
-
 def anchored_headings(previous: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
     """(doc_id, previous, current) of unmatched headings that inherit through their content.
 
@@ -117,32 +205,59 @@ def anchored_headings(previous: DataFrame, current: DataFrame, matches: DataFram
 def match_blocks(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(doc_id, previous, current, how) of blocks that keep their identity: exact in place, exact, in sequence, likely, replaced.
 
-    Both: doc_id, ord, kind, section, text, digest.
+    Both: doc_id, ord, kind, section, text, digest. All of it is within a document, so its blocks are gathered once
+    and matched in one pass; texts are read only of blocks that no digest has matched.
     """
-    pairs = lambda m, how: m.select("doc_id", "previous", "current", F.lit(how).alias("how"))
-    previous, current = written(previous, "previous"), written(current, "current")
-    found = written(pairs(unique_matches(previous, current, ["kind", "digest", "section"]), "in_place"), "matches")
-    for how, key in (("exact", ["kind", "digest"]), ("sequence", ["kind", "analysis"])):
-        p, c = (without(x.withColumn("analysis", T.digest(T.query_text_native(F.col("text")))), found, s) for x, s in ((previous, "previous"), (current, "current")))
-        m = unique_matches(p, c, key)
-        if how == "sequence":
-            m = in_sequence(m).where("kept")
-        found = written(found.unionByName(pairs(m, how)), "matches")
-    p, c = without(previous, found, "previous"), without(current, found, "current")
-    found = written(found.unionByName(pairs(fuzzy_matches(p, c), "likely")), "matches")
-    anchors = written(in_sequence(found).where("kept"), "anchors")
-    p, c = (without(x, found.join(anchors.select("doc_id", "previous", "current"), ["doc_id", "previous", "current"], "left_anti"), s) for x, s in ((previous, "previous"), (current, "current")))
-    return found.unionByName(pairs(replacements(p, c, anchors), "replaced"))
+    side = lambda x, n: x.select("doc_id", F.lit(n).alias("side"), "ord", "kind", "section", "digest", "text")
+    rows = side(previous, 0).unionByName(side(current, 1)).where("doc_id IS NOT NULL")
+    own, at = rows.schema["doc_id"], rows.schema["ord"].dataType
+
+    def run(doc, batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        sides: tuple[list[_Block], list[_Block]] = ([], [])
+        for b in batches:
+            texts = b.column(6)
+            for i, (s, *block) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+                sides[s].append(_Block(*block, texts, i))
+        for p, c, how in _identities(*sides):
+            yield doc, p, c, how
+
+    return by_key(rows, StructType([own, StructField("previous", at), StructField("current", at), StructField("how", StringType())]), run)
 
 
 def block_changes(previous: DataFrame, current: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, previous, current, change: unchanged, modified, moved (off the longest rising run), added or removed."""
-    m = in_sequence(matches)
-    p = previous.select("doc_id", F.col("ord").alias("previous"), F.col("digest").alias("_p"))
-    c = current.select("doc_id", F.col("ord").alias("current"), F.col("digest").alias("_c"))
-    j = p.join(m, ["doc_id", "previous"], "left").join(c, ["doc_id", "current"], "full")
-    change = F.when(F.col("_p").isNull(), "added").when(F.col("_c").isNull(), "removed").when(F.col("_p") != F.col("_c"), "modified").when(~F.col("kept"), "moved").otherwise("unchanged")
-    return j.select("doc_id", "previous", "current", change.alias("change"))
+    none = F.lit(None).cast(previous.schema["ord"].dataType)
+    rows = (
+        previous.select("doc_id", F.col("ord").alias("previous"), none.alias("current"), "digest")
+        .unionByName(current.select("doc_id", none.alias("previous"), F.col("ord").alias("current"), "digest"))
+        .unionByName(matches.select("doc_id", "previous", "current", F.lit(None).cast("string").alias("digest")))
+    )
+
+    def run(doc, batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        p, c, pairs = [], [], []
+        for b in batches:
+            for x, y, digest in zip(*(b.column(k).to_pylist() for k in range(1, 4)), strict=True):
+                if y is None:
+                    p.append((x, digest))
+                elif x is None:
+                    c.append((y, digest))
+                else:
+                    pairs.append((x, y))
+        kept, to, now = longest_rising(pairs), dict(pairs), dict(c)
+        met = set()
+        for x, digest in p:
+            y = to.get(x)
+            if y is None or y not in now:
+                yield doc, x, y, "removed"
+                continue
+            met.add(y)
+            yield doc, x, y, "modified" if digest != now[y] else "unchanged" if (x, y) in kept else "moved"
+        for y, _ in c:
+            if y not in met:
+                yield doc, None, y, "added"
+
+    s = rows.schema
+    return by_key(rows, StructType([s["doc_id"], StructField("previous", s["previous"].dataType), StructField("current", s["current"].dataType), StructField("change", StringType())]), run)
 
 
 def unit_matches(previous: DataFrame, current: DataFrame) -> DataFrame:
