@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -44,11 +44,15 @@ def tabled(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def by_key(rows: DataFrame, schema: StructType, run: Callable[[object, list[pa.RecordBatch]], Iterable[tuple]], order: list[str] | None = None) -> DataFrame:
-    """What run(key, batches) gives for all rows of each key, the first column of rows; they come in that order, if one is asked for."""
+def by_key(rows: DataFrame, schema: StructType, run: Callable[[object, list[pa.RecordBatch]], Iterable[tuple]], order: list[str] | None = None, made: list[Column | str] | None = None) -> DataFrame:
+    """What run(key, batches) gives for all rows of each key, the first column of rows; they come in that order, if one is asked for.
+
+    made: what is made of the rows where they are gathered, the key first, if it is not the rows themselves.
+    """
     key, kinds = rows.columns[0], to_arrow_schema(schema)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tabled((r for k, held in groups(batches) for r in run(k, held)), kinds)
 
-    return rows.repartition(key).sortWithinPartitions(key, *(order or [])).mapInArrow(passed, schema)
+    there = rows.repartition(key).sortWithinPartitions(key, *(order or []))
+    return (there.select(*made) if made else there).mapInArrow(passed, schema)
