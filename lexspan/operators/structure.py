@@ -8,16 +8,20 @@ is relational.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
 from itertools import accumulate
 from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..storage import written
+from .passes import by_key
 
 #: Fixed values of the segmentation, chunk and keyword policies.
 SEGMENT = {"least": 120, "target": 600, "most": 1200, "window": 3, "mad": 1.0, "flat_depth": 0.35, "sparse_words": 8, "least_gaps": 3}
@@ -376,12 +380,26 @@ def linked(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.withColumn("digest", T.digest(F.col("text"))).withColumn("previous", F.lag("ordinal").over(w)).withColumn("next", F.lead("ordinal").over(w))
 
 
+def _chosen(terms: list[str], most: int) -> list[str]:
+    """The commonest allowed terms of a list in order of place, then the first to occur, sorted."""
+    n = {t: k for t, k in Counter(terms).items() if len(t) <= 64 and (len(t) >= 2 or unicodedata.category(t)[0] == "N")}
+    return sorted(nsmallest(most, n, key=lambda t: -n[t]))  # a Counter keeps the order of first places, and so does nsmallest of equals
+
+
 def keywords(blocks: DataFrame, key: str = "doc_id", most: int = KEYWORDS) -> DataFrame:
-    """key and its sorted keywords: of eligible blocks, the commonest terms, then the first to occur, then by term. blocks: key, ord, kind, text."""
-    t = blocks.where(F.col("kind").isin(*KEYWORD_KINDS)).select(key, "ord", F.posexplode(T.word_terms(F.col("text"))).alias("pos", "term")).where(T.allowed_keyword(F.col("term")))
-    n = t.groupBy(key, "term").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("at"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "at", "term")
-    return n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy(key).agg(F.array_sort(F.collect_list("term")).alias("keywords"))
+    """key and its sorted keywords: of eligible blocks, the commonest terms, then the first to occur, then by term. blocks: key, ord, kind, text.
+
+    Texts move once, to where all of a key are; their terms are counted there. Of equal places (blocks of one key and ord) the terms go by the blocks' texts.
+    """
+    rows = blocks.where(F.col("kind").isin(*KEYWORD_KINDS) & F.col(key).isNotNull()).select(key, "ord", "text")
+    schema = StructType([rows.schema[key], StructField("keywords", ArrayType(StringType()))])
+
+    def run(k, batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        found = _chosen([t for b in batches for x in b.column(2).to_pylist() for t in T.term_list(x)], most)
+        if found:
+            yield k, found
+
+    return by_key(rows, schema, run, ["ord", "text"])
 
 
 def uncovered(blocks: DataFrame, docs: DataFrame) -> DataFrame:
