@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows that a pass gives back at once.
-ROWS = 8192
+ROWS = 1024
 
 
 def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, list[pa.RecordBatch]]]:

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..storage import written
-from .passes import by_key
+from .passes import by_key, tabled
 
 #: Fixed values of the segmentation, chunk and keyword policies.
 SEGMENT = {"least": 120, "target": 600, "most": 1200, "window": 3, "mad": 1.0, "flat_depth": 0.35, "sparse_words": 8, "least_gaps": 3}
@@ -305,48 +304,23 @@ def _kind(t: str) -> pa.DataType:
 
 
 def _over(docs: DataFrame, schema: str, rows) -> DataFrame:
-    """rows(doc_id, text) for each document, as a table; 512 documents at a time."""
+    """rows(doc_id, text) for each document, as a table of bounded batches."""
     names = [f.split(" ")[0] for f in re.split(r", (?![^<]*>)", schema)]
     kinds = [_kind(f.split(" ", 1)[1]) for f in re.split(r", (?![^<]*>)", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                out = [r for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for r in rows(d, t or "")]
-                cols = zip(*out, strict=True) if out else [[] for _ in names]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+        return tabled((r for batch in batches for d, t in zip(*batch.columns, strict=True) for r in rows(d.as_py(), t.as_py() or "")), pa.schema(list(zip(names, kinds, strict=True))))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def parsed(docs: DataFrame, chunked: bool = True) -> DataFrame:
-    """Each document with its blocks, units, chunks (if wanted) and problems: it is parsed once for all of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_id", pa.int64()), *((n, pa.list_(pa.struct([(f.split(" ")[0], _kind(f.split(" ", 1)[1])) for f in re.split(r", (?![^<]*>)", s)[1:]]))) for n, s in (("blocks", _BLOCK), ("units", _UNIT), ("chunks", _CHUNK))), ("problems", pa.list_(pa.string()))])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                rows = []
-                for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    blocks, problems = parse(t or "")
-                    own = units(blocks)
-                    rows.append({
-                        "doc_id": d,
-                        "blocks": [{"ord": i} | {k: b[k] for k in ("kind", "level", "ordered", "language", "section", "text", "start", "end")} for i, b in enumerate(blocks)],
-                        "units": [{"unit": i, "tokens": sum(T.estimate(b["text"]) for b in blocks[u["first"] : u["past"]])} | {k: u[k] for k in ("kind", "title", "boundary", "first", "past")} for i, u in enumerate(own)],
-                        "chunks": [{"unit": i, "ordinal": k, "slices": [{"block": x, "start": a, "end": z} for x, a, z in c["slices"]]} | {n: c[n] for n in ("text", "tokens", "split", "overlap")} for i, u in enumerate(own if chunked else ()) for k, c in enumerate(chunks(blocks, u["first"], u["past"]))],
-                        "problems": problems,
-                    })
-                yield pa.RecordBatch.from_pylist(rows, kinds)
-
-    kinds = ", ".join(f"{n} array<struct<" + ",".join(f"{f.split(' ')[0]}:{f.split(' ', 1)[1]}" for f in re.split(r", (?![^<]*>)", s)[1:]) + ">>" for n, s in (("blocks", _BLOCK), ("units", _UNIT), ("chunks", _CHUNK)))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {kinds}, problems array<string>")
-
-
-def _of(p: DataFrame, part: str) -> DataFrame:
-    return p.select("doc_id", F.explode(part).alias("x")).select("doc_id", "x.*")
+def _rows(source: str, chunked: bool = True) -> tuple[list[dict], list[dict], list[dict]]:
+    """The blocks, units and chunks (if wanted) of one text."""
+    blocks, _ = parse(source)
+    own = units(blocks)
+    for i, u in enumerate(own):
+        u |= {"unit": i, "tokens": sum(T.estimate(b["text"]) for b in blocks[u["first"] : u["past"]])}
+    return blocks, own, [c | {"unit": i, "ordinal": k} for i, u in enumerate(own if chunked else ()) for k, c in enumerate(chunks(blocks, u["first"], u["past"]))]
 
 
 def block_table(docs: DataFrame) -> DataFrame:
@@ -359,19 +333,49 @@ def diagnostic_table(docs: DataFrame) -> DataFrame:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    return _of(parsed(docs, chunked=False), "units")
+    return _over(docs, _UNIT, lambda d, t: [(d, u["unit"], *(u[k] for k in ("kind", "title", "boundary", "first", "past", "tokens"))) for u in _rows(t, False)[1]])
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    return _of(parsed(docs), "chunks")
+    slices = lambda c: [{"block": b, "start": x, "end": y} for b, x, y in c["slices"]]
+    return _over(docs, _CHUNK, lambda d, t: [(d, *(c[k] for k in ("unit", "ordinal", "text", "tokens", "split", "overlap")), slices(c)) for c in _rows(t)[2]])
+
+
+def problems_of(source: str, blocks: list[dict], own: list[dict], chunk_rows: list[dict], policy: dict = CHUNK) -> set[str]:
+    """The problems of one text's blocks, units and chunks: what block_violations, unit_violations, chunk_violations and uncovered find in tables."""
+    out, end, at = set(), 0, 0
+    for i, b in enumerate(blocks):
+        if i and b["start"] < end:
+            out.add("overlap")
+        if b["start"] > end and T.token_list(source[end : b["start"]]):
+            out.add("uncovered")
+        end = b["end"]
+        if (b["kind"] == "heading" and not 1 <= b["level"] <= 6) or (b["kind"] != "code" and b["language"] is not None):
+            out.add("structure")
+    for u in own:
+        if u["first"] != at:
+            out.add("ownership")
+        at = u["past"]
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for c in chunk_rows:
+        if c["tokens"] > policy["most"]:
+            out.add("tokens")
+        for i, x, y in c["slices"]:
+            spans.setdefault(i, []).append((x, y))
+    for i, b in enumerate(blocks):
+        upto = 0
+        for x, y in sorted(spans.get(i, ())):
+            if x > upto:
+                break
+            upto = max(upto, y)
+        if upto < len(b["text"]) and T.estimate(b["text"]) > 0:
+            out.add("coverage")
+    return out
 
 
 def violations(docs: DataFrame) -> DataFrame:
-    """doc_id and problem of all structure checks, from one parse, which is written and read again."""
-    p = written(parsed(docs), "parsed")
-    b = _of(p, "blocks")
-    out = block_violations(b).unionByName(unit_violations(_of(p, "units"))).unionByName(chunk_violations(_of(p, "chunks"), b))
-    return out.unionByName(uncovered(b, docs).select("doc_id", F.lit("uncovered").alias("problem")))
+    """doc_id and problem of all structure checks, made where the document is parsed: nothing moves."""
+    return _over(docs, "doc_id long, problem string", lambda d, t: [(d, p) for p in sorted(problems_of(t, *_rows(t)))])
 
 
 def linked(chunk_rows: DataFrame) -> DataFrame:
