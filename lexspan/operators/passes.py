@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that a pass gives back at once.
-ROWS = 1024
+#: Rows that a pass gives back at once, and bytes of a batch that it works on at once.
+ROWS, BYTES = 1024, 4 << 20
 
 
 def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
@@ -44,6 +44,25 @@ def tabled(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches in parts of about BYTES; a single longer row is a part of its own."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BYTES // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def with_text(docs: DataFrame, made: Callable[[str], str]) -> DataFrame:
+    """doc_id and text of docs, each text as made gives it; it goes to Python once and back once, a few MB at a time."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else made(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(passed, rows.schema)
+
+
 def by_key(rows: DataFrame, schema: StructType, run: Callable[[object, list[pa.RecordBatch]], Iterable[tuple]], order: list[str] | None = None) -> DataFrame:
     """What run(key, batches) gives for all rows of each key, the first column of rows; they come in that order, if one is asked for."""
     key, kinds = rows.columns[0], to_arrow_schema(schema)
