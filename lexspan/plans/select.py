@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assembly, search, selection
+from ..storage import written
 from .text import GRAMS, JACCARD, read
 
 Q: dict = {}
@@ -119,9 +120,9 @@ def q3_jn15_u1_hybrid(spark, d):
     """Lexical scores of all turns with the cosines of the conversation's and the card's vectors, where both have one, for the union of both top lists."""
     from ..functions import vectors as V
 
-    lexical = q1_q2_lexical_scores(spark, d).drop("signal")
+    lexical = written(q1_q2_lexical_scores(spark, d).drop("signal"), "lexical")  # all pairs are scored once
     v = vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("e"))
-    asked_by = lexical.select("query_id").distinct().withColumn("id", F.floor(F.col("query_id") / 1000).cast("long"))
+    asked_by = turns(spark, d).select("query_id").distinct().withColumn("id", F.floor(F.col("query_id") / 1000).cast("long"))
     own = asked_by.join(v, "id").select("query_id", F.col("e").alias("qe"))
     few = selection.bounded_catalog(v.join(cards(spark, d).select(F.col("version_id").alias("id")), "id"))
     nearest = search.top_k(few.select("id", F.lit(0).alias("scope"), F.col("e").alias("embedding")), own.select("query_id", F.lit(0).alias("scope"), F.col("qe").alias("embedding")), selection.TOP)
